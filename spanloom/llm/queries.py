@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, warc
+from . import exact_dedup, packing, pieces, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.query,
+    "op5_pieces": pieces.query,
     "op6_quality_rules": quality_rules.query,
     "op7_warc": warc.query,
+    "op9_packing": packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_quality_rules": quality_rules.SQL}
