@@ -20,9 +20,9 @@ from .units import byte_units
 LENGTH = 2048
 END_ID = 1
 #: Cost, in padded tokens, of a cut after a sentence and of one elsewhere in a document.
-SENTENCE_CUT, FREE_CUT = 1.0, 24.0
+SENTENCE_CUT, FREE_CUT = 1.0, 8.0
 #: Where no document or sentence ends within so many tokens, a cut may be anywhere at this distance.
-GAP = 128
+GAP = 24
 #: Windows that are planned at once.
 BLOCK = 96
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pieces, quality_rules, warc
+from . import exact_dedup, packing, pieces, quality_rules, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op5_pieces": pieces.query,
     "op6_quality_rules": quality_rules.query,
     "op7_warc": warc.query,
