@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: One or more of the bytes that part words: space, and tab to carriage return.
@@ -51,20 +51,25 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
-def elect(rows: DataFrame, key: list[str], ident: str, runs: int = 64, fan_in: int = 4) -> DataFrame:
-    """Largest `ident` and number of rows of each `key`, given back for each pair of key and run.
+def window(key: str, *order) -> WindowSpec:
+    return Window.partitionBy(key).orderBy(*order)
+
+
+def elect(rows: DataFrame, key: list[str], ident: str, runs: int = 64, fan_in: int = 4, smallest: bool = False) -> DataFrame:
+    """Largest (or `smallest`) `ident` and number of rows of each `key`, given back for each pair of key and run.
 
     Every row belongs to one of `runs` runs, by a hash of its identifier. A run is sorted by key and reduced
     to one entry for each key; `fan_in` runs are merged at a time until one is left, so that no merge sees more than
     `fan_in` entries for a key and task however many rows share it. Returns key, run, keep, size for keys with two or
     more rows; rows join it on key and `run_of(ident)`, which parts the rows of a hot key over all runs.
     """
+    pick = F.min if smallest else F.max
     level = rows.groupBy(*key, run_of(ident, runs).alias("run")).agg(
-        F.max(F.struct(F.col(ident).alias("keep"))).alias("best"), F.count(F.lit(1)).alias("size")
+        pick(F.struct(F.col(ident).alias("keep"))).alias("best"), F.count(F.lit(1)).alias("size")
     )
     first, left = level.select(*key, "run"), runs
     while left > 1:
-        level = level.groupBy(*key, F.expr(f"run div {fan_in}").alias("run")).agg(F.max("best").alias("best"), F.sum("size").alias("size"))
+        level = level.groupBy(*key, F.expr(f"run div {fan_in}").alias("run")).agg(pick("best").alias("best"), F.sum("size").alias("size"))
         left = -(-left // fan_in)
     top = level.where("size > 1").select(*key, F.col("best.keep").alias("keep"), "size")
     return first.join(top, key)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pieces, quality_rules, substring_dedup, warc
+from . import exact_dedup, minhash, packing, pieces, quality_rules, substring_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pieces": pieces.query,
     "op6_quality_rules": quality_rules.query,
     "op7_warc": warc.query,
+    "op8_minhash": minhash.query,
     "op9_packing": packing.query,
 }
 
