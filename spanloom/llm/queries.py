@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, packing, pieces, quality_rules, substring_dedup, warc
+from . import exact_dedup, minhash, packing, pieces, quality_model, quality_rules, substring_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_model": quality_model.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_toxicity": toxicity.query,
     "op4_substring_dedup": substring_dedup.query,
     "op5_pieces": pieces.query,
     "op6_quality_rules": quality_rules.query,
