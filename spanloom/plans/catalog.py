@@ -1,10 +1,6 @@
 """Every query over the driver's tables, with its SQL."""
 
-from __future__ import annotations
+from . import aggregation, joining, ordering, scalars, temporal  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
