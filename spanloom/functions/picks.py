@@ -51,10 +51,11 @@ def window_starts(n: Column, size: int, stride: int, drop_last: bool) -> Column:
 
 def pyramid(last: Column, scales: list[float]) -> Column:
     """Array of (scale, start, end): half-overlapping windows of each scale up to `last`, and one that ends there."""
-    parts = []
-    for s in scales:
-        n = F.ceil((last - s) / (s / 2)).cast("int")  # starts k s/2 with start + s < last
-        row = lambda start, s=s: F.struct(F.lit(float(s)).alias("scale"), start.alias("start"), F.least(last, start + s).alias("end"))
-        many = F.concat(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k, s=s, row=row: row(k * F.lit(s / 2))), F.array(row(F.greatest(F.lit(0.0), last - s))))
-        parts.append(F.when(last > s, many).otherwise(F.array(row(F.lit(0.0)))))
-    return F.concat(*parts)
+    return F.concat(*[_level(last, float(s)) for s in scales])
+
+
+def _level(last: Column, scale: float) -> Column:
+    row = lambda start: F.struct(F.lit(scale).alias("scale"), start.alias("start"), F.least(last, start + scale).alias("end"))
+    n = F.ceil((last - scale) / (scale / 2)).cast("int")  # starts k scale/2 whose window ends before the last time
+    inner = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: row(k * F.lit(scale / 2)))
+    return F.when(last > scale, F.concat(inner, F.array(row(F.greatest(F.lit(0.0), last - scale))))).otherwise(F.array(row(F.lit(0.0))))

@@ -42,9 +42,9 @@ def duplicate_keys(t: Tables) -> DataFrame:
     return joins.duplicates(t.events, ["user_id", "event_type"])
 
 
-@query("j04_left_join_sentinel", "SELECT d.doc_id, d.source, l.quality, CASE WHEN l.doc_id IS NULL THEN 'NOT_RUN' ELSE l.toxic::VARCHAR END AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("j04_left_join_sentinel", "SELECT d.doc_id, d.source, l.quality::DOUBLE AS quality, CASE WHEN l.doc_id IS NULL THEN 'NOT_RUN' ELSE l.toxic::VARCHAR END AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def left_join_sentinel(t: Tables) -> DataFrame:
-    labels = t.labels.select("doc_id", "quality", F.col("toxic").cast("string").alias("toxic"))
+    labels = t.labels.select("doc_id", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("string").alias("toxic"))
     return joins.with_sentinel(t.documents.select("doc_id", "source"), labels, ["doc_id"], "toxic", F.lit("NOT_RUN"))
 
 

@@ -22,11 +22,11 @@ def conversation_qa(t: Tables) -> DataFrame:
 @query(
     "p07_id_parts",
     """WITH i AS (SELECT o_orderkey, o_custkey || '&&' || o_orderkey || '&&' || (o_orderkey + 7) || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '&&1.5' END AS id FROM orders)
-SELECT o_orderkey, CASE WHEN len(string_split(id, '&&')) = 4 THEN string_split(id, '&&')[1] END AS video, CASE WHEN len(string_split(id, '&&')) = 4 THEN string_split(id, '&&')[2]::INT END AS start, CASE WHEN len(string_split(id, '&&')) = 4 THEN string_split(id, '&&')[4]::DOUBLE END AS fps FROM i""",
+SELECT o_orderkey, CASE WHEN len(string_split(id, '&&')) = 4 THEN string_split(id, '&&')[1] END AS video, CASE WHEN len(string_split(id, '&&')) = 4 THEN string_split(id, '&&')[2]::DOUBLE END AS start, CASE WHEN len(string_split(id, '&&')) = 4 THEN string_split(id, '&&')[4]::DOUBLE END AS fps FROM i""",
 )
 def id_parts(t: Tables) -> DataFrame:
     ident = F.concat_ws("&&", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), (F.col("o_orderkey") + 7).cast("string"), F.when(F.col("o_orderkey") % 5 != 0, F.lit("1.5")))
-    return t.orders.select("o_orderkey", text.id_parts(ident).alias("x")).select("o_orderkey", "x.video", "x.start", "x.fps")
+    return t.orders.select("o_orderkey", text.id_parts(ident).alias("x")).select("o_orderkey", "x.video", F.col("x.start").cast("double").alias("start"), "x.fps")
 
 
 @query("p09_ordered_rules", "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'a') THEN 'A' WHEN contains(lower(p_name), '1') THEN 'one' WHEN contains(lower(p_name), 'p') THEN 'P' ELSE p_brand END AS family FROM part")

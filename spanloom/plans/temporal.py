@@ -15,7 +15,7 @@ from .registry import Tables, query
 @query(
     "w03_cells_lag_lead",
     """WITH e AS (SELECT user_id, epoch(ts)::DOUBLE - min(epoch(ts)::DOUBLE) OVER (PARTITION BY user_id) AS t FROM events), p AS (SELECT DISTINCT user_id, round(t, 3) AS t FROM e)
-SELECT user_id, t, round(coalesce((lag(t) OVER w + t) / 2, 0), 3) AS cell_start, round(coalesce((t + lead(t) OVER w) / 2, max(t) OVER (PARTITION BY user_id)), 3) AS cell_end FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t)""",
+SELECT user_id, t, round(coalesce((lag(t) OVER w + t) / 2, 0), 5) AS cell_start, round(coalesce((t + lead(t) OVER w) / 2, max(t) OVER (PARTITION BY user_id)), 5) AS cell_end FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t)""",
 )
 def cells(t: Tables) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
@@ -23,7 +23,7 @@ def cells(t: Tables) -> DataFrame:
     points = e.select("user_id", F.round(F.col("us") - F.min("us").over(Window.partitionBy("user_id")), 3).alias("t")).distinct()
     points = points.withColumn("last", F.max("t").over(Window.partitionBy("user_id")))
     out = timeline.cells(points, "user_id", "t", "last")
-    return out.select("user_id", "t", F.round("cell_start", 3).alias("cell_start"), F.round("cell_end", 3).alias("cell_end"))
+    return out.select("user_id", "t", F.round("cell_start", 5).alias("cell_start"), F.round("cell_end", 5).alias("cell_end"))
 
 
 @query("w04_deltas", "SELECT user_id, event_id, round(epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) - ts)::DOUBLE, 3) AS delta FROM events")
