@@ -24,10 +24,10 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     Only where that setting is absent, as in tests on one machine, is a temporary folder made and set.
     The path is deleted when the JVM ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/spanloom/{tag}-{uuid.uuid4().hex}"
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
