@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,8 @@ SHINGLE, PERCENT = 5, 80
 MINIMA, BITS, BANDS, ROWS = 256, 4, 40, 4
 #: Standard deviations by which an estimate may fall short of the threshold before a candidate is given up.
 SIGMAS = 5.0
-#: Candidates of a document that are confirmed first, by estimate, before all that could still join components.
-FIRST = 4
+#: Documents of a component, and documents asked about it, that meet at once, about.
+BLOCK = 256
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = _RNG.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -122,15 +123,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
         for batch in batches:
             keep = []
             for na, nb, za, zb in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4, 5))):
-                x, y = (shingles(hashes(zstandard.decompress(z).decode(), lower=True), size) for z in (za, zb))
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = _set_of(za, size), _set_of(zb, size)
                 # rows that repeat an identifier with another text are told by the size of the set
-                keep.append(len(x) == na and len(y) == nb and 100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(len(x) == na and len(y) == nb and _similar(x, y, percent))
             yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _set_of(squeezed: bytes, size: int) -> np.ndarray:
+    return shingles(hashes(zstandard.decompress(squeezed).decode(), lower=True), size)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, comp: the smallest identifier that each end of `links` (a, b) reaches.
 
@@ -142,8 +151,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-        new = common.stored(step.join(jump, "comp", "left").select("id", "old", F.least("comp", "root").alias("comp")), "labels")
+        for _ in range(2):
+            jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+            step = step.join(jump, "comp", "left").select("id", "old", F.least("comp", "root").alias("comp"))
+        new = common.stored(step, "labels")
         labels = new.select("id", "comp")
         if not new.where("comp != old").limit(1).count():
             return labels
@@ -157,10 +168,10 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     candidates; those whose b-bit estimate reaches the threshold, less a margin of standard deviations, are confirmed on
     the full sets. component_id is the smallest doc_id reachable by links, kept whether it is the document's own.
 
-    No bucket's pairs are listed: a class is compared with the first and last of its buckets and confirmed with the best;
-    then only classes that their bucket's largest component lacks are compared with the others of the bucket, the best
-    few first, until all candidates left lie within components or are refuted. Buckets and classes of any size are met by
-    counts taken before exchanges and by joins.
+    No bucket's pairs are listed: a class is compared with the first and last of its buckets and confirmed with the best.
+    Then classes outside their bucket's largest component are asked about that component, in blocks, and joined to it by the first
+    link that is confirmed; then the few that are left, and classes of buckets where nothing is linked, are compared among
+    themselves. This goes on until no candidates of different components are left that aren't refuted.
 
     Null and empty texts: n_shingles 0, linked with nothing. Null doc_id: linked with nothing, null component, kept.
     Rows that repeat a doc_id: each judged by its own text; links of any of them are the document's. Other columns are
@@ -180,38 +191,133 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         return pairs.join(signs.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("sig").alias(f"s{end}")), end)
 
     star = members.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b").distinct()
-    star = with_sign(with_sign(star, "a"), "b").select("a", "na", "b", "nb", estimate(F.col("sa"), F.col("sb")).alias("est")).where(F.col("est") >= cut)
+    star = with_sign(with_sign(star, "a"), "b").where(_sizes_fit("na", "nb", percent)).select("a", "na", "b", "nb", estimate(F.col("sa"), F.col("sb")).alias("est")).where(F.col("est") >= cut)
     best = star.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("est", F.col("b"))).alias("best")).select("a", "na", "best.b", "best.nb")
-    links = common.stored(_confirmed(best, texts, size, percent), "confirmed")
-    labels = components(links)
-    tried = best.select("a", "b")
-    for first in (FIRST, 0):
-        pairs = _open_pairs(members, labels, signs, cut)
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if first:
-            rank = F.row_number().over(common.window("a", F.col("est").desc(), "b"))
-            pairs = pairs.withColumn("rank", rank).where(F.col("rank") <= first)
-        pairs = common.stored(pairs.select("a", "na", "b", "nb"), "pairs")
-        if not pairs.limit(1).count():
-            break
-        found = common.stored(_confirmed(pairs, texts, size, percent), "confirmed")
-        tried = tried.union(pairs.select("a", "b"))
-        links = links.union(found)
-        labels = components(links)
-    return _labelled(rows, real, labels)
-
-
-def _open_pairs(members: DataFrame, labels: DataFrame, signs: DataFrame, cut: float) -> DataFrame:
-    """a, na, b, nb, est: candidates in different components: those outside the largest component of their bucket, with the bucket's others."""
+    labels = components(_confirmed(best, texts, size, percent))
+    while True:
+        placed = _placed(members, labels)
+        asked = common.stored(_asked(placed, labels, signs, percent, cut), "asked")
+        if asked.limit(1).count():
+            links = _answered(asked, texts, size, percent)
+            if (joined := _merged(labels, common.stored(links, "confirmed"))) is not None:
+                labels = joined
+                continue
+        pairs = common.stored(_outside(placed, signs, percent, cut), "pairs")
+        joined = _merged(labels, common.stored(_confirmed(pairs, texts, size, percent), "confirmed")) if pairs.limit(1).count() else None
+        if joined is None:
+            return _labelled(rows, real, labels)
+        labels = joined
+
+
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
+    """Sets whose sizes differ too much can't be similar enough: an exact bound."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame | None:
+    """Labels after more links (a, b) between components; None where no link is new. Only the graph of components is walked."""
+    at = lambda end: labels.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    new = common.stored(ends.where("ca != cb"), "new")
+    if not new.limit(1).count():
+        return None
+    roots = components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+    known = labels.unionByName(new.select(F.explode(F.array("a", "b")).alias("id")).join(labels, "id", "left_anti").distinct().withColumn("comp", F.col("id")))
+    return common.stored(known.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "labels")
+
+
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, id, comp, main, main_size: members of the buckets that hold several components, with the largest of these."""
     placed = members.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
     sizes = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
-    open_ = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main")).where("comps > 1").drop("comps")
-    placed = placed.join(open_, "band").join(signs, "id")
-    a = placed.where("comp != main").select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("comp").alias("ca"))
-    b = placed.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("in_main"))
-    est = estimate(F.col("sa"), F.col("sb"))
-    pairs = a.join(b, (a["band"] == b["band"]) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (est >= cut))
-    return pairs.select("a", "na", "b", "nb", est.alias("est")).distinct()
+    top = F.max(F.struct("size", "comp")).alias("top")
+    open_ = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), top).where("comps > 1").select("band", F.col("top.comp").alias("main"), F.col("top.size").alias("main_size"))
+    return common.stored(placed.join(open_, "band"), "placed")
+
+
+def _asked(placed: DataFrame, labels: DataFrame, signs: DataFrame, percent: int, cut: float) -> DataFrame:
+    """comp, mb, qb, asks, id, n: documents that share a bucket with a component of several and aren't in it, and the component's documents, block by block.
+
+    Component and askers are dealt to blocks of about BLOCK, and each block of one meets each of the other. First only
+    signatures meet: an asker that no document of the component is near by estimate is let go.
+    """
+    askers = placed.where("comp != main AND main_size > 1").select(F.col("main").alias("comp"), "id").distinct()
+    askers = askers.join(signs, "id").withColumn("asks", F.lit(True))
+    wanted = askers.select("comp").distinct()
+    inside = labels.join(wanted, "comp").join(signs, "id").withColumn("asks", F.lit(False))
+    near = _blocks(askers, inside, "sig").groupBy("comp", "mb", "qb").applyInPandas(_near(percent, cut), "comp long, id long")
+    left = askers.join(near.distinct(), ["comp", "id"], "left_semi")
+    return _blocks(left.drop("sig"), inside.drop("sig").join(left.select("comp").distinct(), "comp"), None)
+
+
+def _blocks(askers: DataFrame, inside: DataFrame, payload: str | None) -> DataFrame:
+    kinds = [c for c in ("comp", "id", "n", payload, "asks") if c]
+    counts = inside.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m")).join(askers.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("q")), "comp")
+    own = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    q = askers.select(*kinds).join(counts, "comp").withColumn("qb", own("q")).withColumn("mb", every("m"))
+    m = inside.select(*kinds).join(counts, "comp").withColumn("mb", own("m")).withColumn("qb", every("q"))
+    return q.unionByName(m).drop("m", "q")
+
+
+def _near(percent: int, cut: float):
+    """Of a block's askers those that some document of the component is near to by size and estimate."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, m = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if not len(q) or not len(m):
+            return pdf.loc[[], ["comp", "id"]]
+        sigs, sizes = np.stack(m["sig"].tolist()).view(np.uint64), m["n"].to_numpy()
+        keep = [bool((_estimates(np.asarray(s, np.int64).view(np.uint64), sigs)[100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)] >= cut).any()) for s, n in zip(q["sig"], q["n"])]
+        return q.loc[keep, ["comp", "id"]]
+
+    return run
+
+
+def _estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    x = one ^ many
+    folded = x
+    for k in range(1, BITS):
+        folded = folded | (x >> np.uint64(k))
+    differ = np.bitwise_count(folded & np.uint64(int("1" * (64 // BITS), 1 << BITS))).sum(1)
+    chance = 2.0**-BITS
+    return (1 - differ / MINIMA - chance) / (1 - chance)
+
+
+def _answered(asked: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: for each asker and block the first document of the component, nearest first by estimate, that the full sets confirm as linked; askers without one have none."""
+    cut = least_estimate(percent)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, m = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        out: list[tuple[int, int]] = []
+        if len(q) and len(m):
+            sets = [_set_of(z, size) for z in m["z"]]
+            sigs, sizes = np.stack([signature(minima(s))[1].view(np.uint64) for s in sets]), np.array([len(s) for s in sets])
+            ids, right = m["id"].tolist(), sizes == m["n"].to_numpy()
+            for a, n, z in zip(q["id"].tolist(), q["n"].tolist(), q["z"]):
+                x = _set_of(z, size)
+                if len(x) != n:
+                    continue  # another text under the same identifier
+                est = np.where(right & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)), _estimates(signature(minima(x))[1].view(np.uint64), sigs), -1.0)
+                for k in np.argsort(-est, kind="stable"):
+                    if est[k] < cut:
+                        break
+                    if _similar(x, sets[k], percent):
+                        out.append((a, ids[k]))
+                        break
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return asked.join(texts, "id").groupBy("comp", "mb", "qb").applyInPandas(run, "a long, b long")
+
+
+def _outside(placed: DataFrame, signs: DataFrame, percent: int, cut: float) -> DataFrame:
+    """a, na, b, nb: candidates in different components of a bucket of which neither is in its main component, where that is of several."""
+    few = placed.where("main_size = 1 OR comp != main").join(signs, "id")
+    a = few.select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("comp").alias("ca"))
+    b = few.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("comp").alias("cb"))
+    fit = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent) & (estimate(F.col("sa"), F.col("sb")) >= cut)
+    return a.join(b, (a["band"] == b["band"]) & fit).select("a", "na", "b", "nb").distinct()
 
 
 def _labelled(rows: DataFrame, real: DataFrame, labels: DataFrame) -> DataFrame:
