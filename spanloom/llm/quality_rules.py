@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,29 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _repeat_words(marks: Column) -> Column:
-    """Words in 3-word windows found twice or more. marks: structs (hash of the window, its position), sorted."""
-    n = F.size(marks)
-    at = lambda i: F.get(marks, i)
-    same = lambda i, j: F.coalesce(at(i)["h"] == at(j)["h"], F.lit(False))
-    return F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(same(i, i - 1) | same(i, i + 1), at(i)["p"])), lambda p: p.isNotNull())
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it occurs there and wherever the optimizer puts the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _repeat_words(w: Column) -> Column:
+    """Words of the array `w` in 3-word windows found twice or more.
+
+    Windows are sorted by hash, so that equal ones are neighbours; the positions of those that have an equal neighbour are
+    sorted, and each adds its three words less those that the one before has added.
+    """
+    n = F.size(w)
+    mark = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))
+    marks = F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), mark))
+
+    def hits(m: Column) -> Column:
+        same = lambda i, j: F.coalesce(F.get(m, i)["h"] == F.get(m, j)["h"], F.lit(False))
+        found = F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.when(same(i, i - 1) | same(i, i + 1), F.get(m, i)["p"]))
+        return F.array_sort(F.array_compact(found))
+
+    begin = F.struct(F.lit(0).alias("sum"), F.lit(-3).alias("last"))
+    add = lambda s, p: F.struct((s["sum"] + F.least(F.lit(3), p - s["last"])).alias("sum"), p.alias("last"))
+    return F.when(n < 4, F.lit(0)).otherwise(F.aggregate(_let(marks, hits), begin, add, lambda s: s["sum"]))
 
 
 def figures(docs: DataFrame) -> DataFrame:
@@ -32,24 +51,16 @@ def figures(docs: DataFrame) -> DataFrame:
     Everything is an expression on its own row; no rows are exchanged. Windows are compared by 64-bit hashes.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), text.alias("text")).withColumn("w", common.words(F.col("text")))
-    out = out.withColumn("n", F.size("w"))
-    window = lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("p"))
-    none = F.array().cast("array<struct<h:bigint,p:int>>")
-    out = out.withColumn("marks", F.when(F.col("n") < 4, none).otherwise(F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 3, F.lit(0))), window))))
-    out = out.withColumn("hits", F.when(F.size("marks") == 0, F.array().cast("array<int>")).otherwise(F.array_sort(_repeat_words(F.col("marks")))))
-    # a window adds its three words, less those that the window before it has added
-    covered = F.aggregate("hits", F.struct(F.lit(0).alias("sum"), F.lit(-3).alias("last")), lambda s, p: F.struct((s["sum"] + F.least(F.lit(3), p - s["last"])).alias("sum"), p.alias("last")), lambda s: s["sum"])
-    out = out.withColumn("lines", _lines(F.col("text")))
-    return out.select(
+    counts = _let(common.words(text), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("repeat")))
+    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), text.alias("text"), counts.alias("c")).select(
         "doc_id",
         "source",
         F.xxhash64("text").alias("text_hash"),
-        F.col("n").cast("long").alias("n_words"),
+        F.col("c.n").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", common.SPACES, "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
+        _let(_lines(F.col("text")), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.col("c.repeat").cast("long").alias("n_repeat_words"),
     )
 
 
