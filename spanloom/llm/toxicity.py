@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import common, learn
 
 #: Confirmed toxic and unlabelled documents that are learnt from at most, bounded samples; labelled rows that the prior is taken from are all.
-POSITIVES, UNLABELLED = 2000, 4000
+POSITIVES, UNLABELLED = 1500, 2500
 EPOCHS, BATCHES, RATE, DECAY, SEED = 60, 8, 0.05, 1e-4, 5
 #: A slot is used if at least so many positives have it, so many times more often than negatives, and by so many standard errors.
 SUPPORT, LIFT, Z = 4, 2.0, 3.5
