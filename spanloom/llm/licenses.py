@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,19 +82,21 @@ def normal(text: str) -> str:
     return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
 
 
-def known() -> list[tuple[str, str]]:
+@lru_cache
+def known() -> tuple[tuple[str, str], ...]:
     """Normalised sentences and their identifiers. A known sentence that breaks itself is known by its parts: identifier/part."""
     out = []
     for name, text in SENTENCES.items():
         parts = [p for p in map(normal, re.split(BREAK, text)) if p]
         out.extend((p, name if len(parts) == 1 else f"{name}/{k}") for k, p in enumerate(parts))
-    return out
+    return tuple(out)
 
 
-def steps(rule: str) -> list[str]:
+@lru_cache
+def steps(rule: str) -> tuple[str, ...]:
     """The identifiers of a rule's sentences, those that break by their parts."""
     ids = [i for _, i in known()]
-    return [i for s in RULES[rule][1] for i in ids if i == s or i.startswith(f"{s}/")]
+    return tuple(i for s in RULES[rule][1] for i in ids if i == s or i.startswith(f"{s}/"))
 
 
 def match(hits: list[tuple[int, str]], gap: int = GAP) -> list[tuple[str, str, int, int]]:
@@ -128,7 +131,7 @@ def _normal(text: Column) -> Column:
 def sentence_hits(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, pos, ident: the known sentences of each text, at their number among its sentences."""
     spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(known(), "sentence string, ident string"))  # a fixed table
+    table = F.broadcast(spark.createDataFrame([*known()], "sentence string, ident string"))  # a fixed table
     lengths = sorted({len(s) for s, _ in known()})
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.posexplode(F.split("text", BREAK)).alias("pos", "raw"))
     # normalising doesn't lengthen, so shorter sentences can't be known ones
