@@ -103,12 +103,12 @@ def iou_pairs(t: Tables) -> DataFrame:
 
 def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Predictions (returned lines) and truths (others) of orders; p and g are unique within an order."""
-    rows = spans(t).withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("n", "p", "s")))
+    rows = spans(t).withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("n", "p", "s", "e", "f")))
     preds = rows.where("f = 'R'").select("k", F.col("i").alias("p"), F.col("s").alias("p_start"), F.col("e").alias("p_end"))
     return preds, rows.where("f != 'R'").select("k", F.col("i").alias("g"), F.col("s").alias("g_start"), F.col("e").alias("g_end"))
 
 
-_SIDES = f"{_SPANS}, i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, p, s) AS i FROM spans), pr AS (SELECT k, i AS p, s, e FROM i WHERE f = 'R'), gt AS (SELECT k, i AS g, s, e FROM i WHERE f <> 'R'), io AS (SELECT a.k, p, g, CASE WHEN greatest(a.e, b.e) > least(a.s, b.s) THEN {_PAIR} / (greatest(a.e, b.e) - least(a.s, b.s)) ELSE 0 END AS iou FROM pr a JOIN gt b ON a.k = b.k)"
+_SIDES = f"{_SPANS}, i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, p, s, e, f) AS i FROM spans), pr AS (SELECT k, i AS p, s, e FROM i WHERE f = 'R'), gt AS (SELECT k, i AS g, s, e FROM i WHERE f <> 'R'), io AS (SELECT a.k, p, g, CASE WHEN greatest(a.e, b.e) > least(a.s, b.s) THEN {_PAIR} / (greatest(a.e, b.e) - least(a.s, b.s)) ELSE 0 END AS iou FROM pr a JOIN gt b ON a.k = b.k)"
 
 
 @query(
@@ -168,11 +168,11 @@ def suppression(t: Tables) -> DataFrame:
 
 @query(
     "g20_flatten_overlaps",
-    f"""WITH {_SPANS}, i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, p, s) AS i FROM spans), t AS (SELECT DISTINCT k, s AS t FROM i UNION SELECT DISTINCT k, e FROM i),
+    f"""WITH {_SPANS}, i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, p, s, e, f) AS i FROM spans), t AS (SELECT DISTINCT k, s AS t FROM i UNION SELECT DISTINCT k, e FROM i),
 q AS (SELECT k, t AS a, lead(t) OVER (PARTITION BY k ORDER BY t) AS b FROM t) SELECT q.k, a AS start, b AS "end", arg_min(i.i, (-(e - s), i.i))::VARCHAR AS caption FROM q JOIN i ON q.k = i.k AND s < b AND e > a GROUP BY 1, 2, 3""",
 )
 def flatten_overlaps(t: Tables) -> DataFrame:
-    rows = spans(t).withColumn("ordinal", F.row_number().over(Window.partitionBy("k").orderBy("n", "p", "s")))
+    rows = spans(t).withColumn("ordinal", F.row_number().over(Window.partitionBy("k").orderBy("n", "p", "s", "e", "f")))
     return timeline.flattened(rows.select("k", "ordinal", F.col("s").alias("start"), F.col("e").alias("end"), F.col("ordinal").cast("string").alias("caption")), "k")
 
 
