@@ -27,8 +27,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of 50 words or more that a document with a smaller doc_id has; n_chars follows the text."""
-    cut = substring_dedup.cut(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__doc_id"), "kept_text").dropDuplicates(["__doc_id"])
-    out = docs.drop("text").join(cut, docs["doc_id"].eqNullSafe(F.col("__doc_id")), "left").withColumn("text", F.col("kept_text"))
+    cut = substring_dedup.cut(docs, carry=[c for c in docs.columns if c != "text"])
+    out = cut.select("rest.*", F.col("kept_text").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -45,9 +45,13 @@ def exact_groups(docs: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> Dat
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with their columns unchanged. Rows without doc_id stay unless an identified row has the same text."""
-    lost = exact_groups(docs).where("NOT kept").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__lost")), "left_anti")
+    """The rows of `docs` that stay, with their columns unchanged. Rows without doc_id stay unless an identified row has the same text.
+
+    Rows are told by doc_id and digest of their text, so rows that share an identifier, or have none, stay or go each by their own text.
+    """
+    lost = exact_groups(docs).where("NOT kept").select(F.col("doc_id").alias("__lost"), F.col("text_sha256").alias("__lost_sha")).distinct()
+    rows = docs.withColumn("__sha", F.sha2(common.ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
+    return rows.join(lost, rows["doc_id"].eqNullSafe(F.col("__lost")) & (F.col("__sha") == F.col("__lost_sha")), "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

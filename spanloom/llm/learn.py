@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textnum import bytes_of, spans, word_hashes
@@ -98,27 +98,49 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
     return labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
 
 
+def _scorer(spark: SparkSession, weights: np.ndarray, bias: float, lower: bool, mean: bool) -> Callable[[pa.Array], np.ndarray]:
+    """What gives the scores of a column of texts, in a task."""
+    shared = spark.sparkContext.broadcast(weights.astype(np.float32))  # SLOTS numbers, whatever the input
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        table = shared.value
+        used = table != 0
+        z = np.empty(len(texts))
+        for k, text in enumerate(texts):
+            total, count, seen = 0.0, 0, [np.zeros(0, np.int32)]
+            for slots in features(text.as_py(), lower):
+                if mean:
+                    total += float(table[slots].sum(dtype=np.float64))
+                    count += len(slots)
+                else:
+                    seen.append(slots[used[slots]])
+            if not mean:
+                total, count = float(table[np.unique(np.concatenate(seen))].sum(dtype=np.float64)), 1
+            z[k] = bias + total / max(count, 1)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    return scores
+
+
+def passing(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float, lower: bool, mean: bool) -> DataFrame:
+    """The rows of `docs` whose own text scores at least `threshold`, with their columns unchanged; nothing is joined or exchanged."""
+    scores = _scorer(docs.sparkSession, weights, bias, lower, mean)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(at)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scored(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float, lower: bool, mean: bool) -> DataFrame:
     """doc_id, held_out, score, predicted: the logistic function of the bias and of the mean weight of a text's features, or of the sum over its distinct ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # SLOTS numbers, whatever the input
+    scores = _scorer(docs.sparkSession, weights, bias, lower, mean)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        used = table != 0
         for batch in batches:
-            z = np.empty(batch.num_rows)
-            for k, text in enumerate(batch.column(1)):
-                total, count, seen = 0.0, 0, [np.zeros(0, np.int32)]
-                for slots in features(text.as_py(), lower):
-                    if mean:
-                        total += float(table[slots].sum(dtype=np.float64))
-                        count += len(slots)
-                    else:
-                        seen.append(slots[used[slots]])
-                if not mean:
-                    total, count = float(table[np.unique(np.concatenate(seen))].sum(dtype=np.float64)), 1
-                z[k] = bias + total / max(count, 1)
-            score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            score = scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")

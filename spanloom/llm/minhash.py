@@ -331,10 +331,32 @@ def _labelled(rows: DataFrame, real: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` whose document is the first of its group, with their columns unchanged."""
+    """The rows of `docs` whose document is the first of its group, with their columns unchanged.
+
+    Where rows share a doc_id and differ in text, each text counts as a document of its own. Rows without doc_id stay.
+    """
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    shared = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("least"), F.max(text).alias("most"))
+    shared = common.stored(shared.where("least != most").select(F.col("doc_id").alias("__shared")), "shared_ids")
+    if not shared.isEmpty():
+        return _drop_near_texts(docs, shared, size, percent)
     lost = near_groups(docs, size, percent).where("NOT kept").select(F.col("doc_id").alias("__lost")).distinct()
     return docs.join(lost, docs["doc_id"] == F.col("__lost"), "left_anti")
 
 
+def _drop_near_texts(docs: DataFrame, shared: DataFrame, size: int, percent: int) -> DataFrame:
+    """`drop_near` where the doc_ids in `shared` (__shared) stand for several texts: there a hash of doc_id and text is the identifier.
+
+    The first of a group is that of the least doc_id. Rows are joined by identifier, so a large group isn't gathered.
+    """
+    own = F.when(F.col("__shared").isNull(), F.col("doc_id").cast("long")).otherwise(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    rows = docs.join(shared, docs["doc_id"] == F.col("__shared"), "left").withColumn("__own", own)
+    rows = common.stored(rows.select(*docs.columns, "__own"), "own_ids")
+    groups = near_groups(rows.select(F.col("__own").alias("doc_id"), "text"), size, percent).select(F.col("doc_id").alias("__g"), F.col("component_id").alias("__c"))
+    placed = groups.where("__g IS NOT NULL").join(rows.where("__own IS NOT NULL").select("doc_id", "__own").distinct(), F.col("__g") == F.col("__own"))
+    first = placed.groupBy("__c").agg(F.min(F.struct("doc_id", "__own")).alias("first")).select(F.col("first.__own").alias("__first"))
+    return rows.join(first, rows["__own"] == F.col("__first"), "left").where("__own IS NULL OR __first IS NOT NULL").select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(common.table(spark, sf_dir, "documents"), size=2)

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common, learn
 
@@ -76,9 +75,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the model doesn't reject, with their columns unchanged."""
-    lost = score(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__lost")), "left_anti")
+    """The rows of `docs` that the model doesn't reject, each by its own text, with their columns unchanged."""
+    model = fit(docs, labels)
+    return learn.passing(docs, model.weights, model.bias, THRESHOLD, lower=False, mean=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 from .textnum import bytes_of, runs, spans, word_hashes
@@ -70,18 +71,21 @@ def _path_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "seed long, path long, n int, doc_id long, tag int, starts array<int>")
 
 
-def _squeezed(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, text (compressed): texts as they are exchanged."""
+def _squeezed(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, tag, text (compressed), rest (the columns in `carry`, if any): texts as they are exchanged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             data = [None if x is None else x.encode() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([_tag(x or b"") for x in data], pa.int32()), pa.array([None if x is None else press.compress(x) for x in data], pa.binary())], names=["doc_id", "tag", "text"]
+                [batch.column(0), pa.array([_tag(x or b"") for x in data], pa.int32()), pa.array([None if x is None else press.compress(x) for x in data], pa.binary()), *batch.columns[2:]], names=["doc_id", "tag", "text", *rest]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, tag int, text binary")
+    rest = ["rest"] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.struct(*carry).alias(r) for r in rest])
+    schema = StructType.fromDDL("doc_id long, tag int, text binary")
+    return rows.mapInArrow(run, StructType([*schema, *[rows.schema[r] for r in rest]]))
 
 
 def _edges(asked: DataFrame, docs: DataFrame, window: int) -> DataFrame:
@@ -134,8 +138,8 @@ def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFra
     return whole.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
 
 
-def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text for each row of `docs` (doc_id, text).
+def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text for each row of `docs` (doc_id, text), and rest, a struct of the row's columns in `carry`, if any.
 
     Removes each word that a window of `window` words covers whose words also start in a document with a smaller
     doc_id; windows are judged on the input. kept_sha256 is that of the kept words joined by one space; kept_text is the
@@ -146,14 +150,15 @@ def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     empty table gives an empty result.
     """
     found = repeated(docs, window, seed).select(F.col("doc_id").alias("f_id"), F.col("tag").alias("f_tag"), "spans")
-    rows = _squeezed(docs).join(found, (F.col("doc_id") == F.col("f_id")) & (F.col("tag") == F.col("f_tag")), "left").select("doc_id", "text", "spans")
+    rest = ["rest"] if carry else []
+    rows = _squeezed(docs, carry).join(found, (F.col("doc_id") == F.col("f_id")) & (F.col("tag") == F.col("f_tag")), "left").select("doc_id", "text", "spans", *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, spans_ in zip(*(batch.column(i) for i in range(3))):
-                yield _row(doc_id, text.as_py(), spans_)
+            for k, (doc_id, text, spans_) in enumerate(zip(*(batch.column(i) for i in range(3)))):
+                yield _row(doc_id, text.as_py(), spans_, [c.slice(k, 1) for c in batch.columns[3:]])
 
-    def _row(doc_id: pa.Scalar, squeezed: bytes | None, found_spans: pa.Scalar) -> pa.RecordBatch:
+    def _row(doc_id: pa.Scalar, squeezed: bytes | None, found_spans: pa.Scalar, others: list[pa.Array]) -> pa.RecordBatch:
         raw = b"" if squeezed is None else zstandard.decompress(squeezed)
         begins, ends = spans(np.frombuffer(raw, np.uint8))
         keep, text = np.ones(len(begins), bool), None if squeezed is None else raw
@@ -164,11 +169,12 @@ def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
             text = _without(raw, begins, ends, keep)
         words = b" ".join([raw[a:b] for a, b in zip(begins[keep].tolist(), ends[keep].tolist())])
         return pa.RecordBatch.from_arrays(
-            [pa.array([doc_id.as_py()], pa.int64()), pa.array([len(begins)], pa.int64()), pa.array([len(begins) - int(keep.sum())], pa.int64()), pa.array([hashlib.sha256(words).hexdigest()]), pa.array([None if text is None else text.decode()], pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+            [pa.array([doc_id.as_py()], pa.int64()), pa.array([len(begins)], pa.int64()), pa.array([len(begins) - int(keep.sum())], pa.int64()), pa.array([hashlib.sha256(words).hexdigest()]), pa.array([None if text is None else text.decode()], pa.string()), *others],
+            names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *rest],
         )
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rows.mapInArrow(run, StructType([*schema, *[rows.schema[r] for r in rest]]))
 
 
 def _without(raw: bytes, begins: np.ndarray, ends: np.ndarray, keep: np.ndarray) -> bytes:

@@ -75,3 +75,30 @@ def test_pipeline(spark, labelled, tmp_path):
     assert "p40" in cut[5002].text and "p40" not in cut[5003].text and "r80" in cut[5003].text and cut[5003].n_chars == len(cut[5003].text)
     last = spark.read.parquet(f"{tmp_path}/out/packing")
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == ids("substring_dedup")
+
+
+def test_stages_decide_by_row(spark, labelled, tmp_path):
+    """Rows without doc_id and rows that share one stay or go each by their own text."""
+    _, labels = labelled
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    run = lambda f, rows: sorted(((r.doc_id, r.text) for r in f(spark, spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], schema), str(tmp_path)).collect()), key=repr)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+
+    want = [(None, b), (None, c), (4, d), (9, a)]
+    assert run(corpus_pipeline.exact, [(None, a), (None, b), (None, c), (4, a.upper()), (4, d), (9, a)]) == sorted(want, key=repr)
+
+    near = " ".join(a.split()[:-1])
+    assert run(corpus_pipeline.near, [(1, a), (4, near), (4, d), (None, b), (None, c), (5, d + " d80")]) == sorted([(1, a), (4, d), (None, b), (None, c)], key=repr)
+
+    rows = [(1, "x " + a), (4, "first own words " + a), (4, b), (4, c), (None, d), (None, "y " + d)]
+    assert run(corpus_pipeline.substring, rows) == sorted([(1, "x " + a), (4, "first own words"), (4, b), (4, c), (None, d), (None, "y " + d)], key=repr)
+
+    docs, _ = labelled
+    scored = quality_model.score(docs, labels).where("NOT held_out").orderBy("score").collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    bad, good = texts[scored[0].doc_id], texts[scored[-1].doc_id]
+    docs.select("doc_id", "text").where("doc_id IS NOT NULL").write.parquet(f"{tmp_path}/d")
+    base = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/d").collect()]
+    got = run(corpus_pipeline.quality, [*base, (None, bad), (None, good), (7000, bad), (7000, good)])
+    assert [x for x in got if x[0] in (None, 7000)] == sorted([(None, good), (7000, good)], key=repr)
