@@ -141,7 +141,7 @@ class Lane:
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: the pieces of all `docs` (doc_id, text) in sequences.
 
-    A document is the ids of its whole text by the tokenizer file at `path`, then `end_id`. Each partition of `docs` is a
+    A document is the ids of its whole text by the tokenizer file at `path`, its added tokens included, then `end_id`. Each partition of `docs` is a
     stream that is packed in its order, so nothing is exchanged; the order of a table's files is kept. Cuts fall after
     documents or sentences where that costs less than the padding it leaves, elsewhere in a document where no sentence
     ends for long. Sequences have at most `length` tokens and are meant to be padded to it; what is left at the end of a
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
         lane = Lane(TaskContext.get().partitionId(), path, length, end_id)
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
-                lane.add(doc_id.as_py(), np.frombuffer(units.ids(text.as_py() or "") + end, "<u4"))
+                lane.add(doc_id.as_py(), np.frombuffer(units.document(text.as_py() or "") + end, "<u4"))
             yield lane.take()
         lane._plan(last=True)
         yield lane.take()

@@ -47,19 +47,33 @@ class ByteUnits:
         # the printable stand-ins of bytes, in the order of the byte-level alphabet
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(plain))}
-        special = {x["content"] for x in model["added_tokens"]}
+        special = {x["content"]: x["id"] for x in model["added_tokens"]}
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in model["added_tokens"]):
+            raise ValueError("added tokens that take in or depend on their surroundings aren't known here")
+        self.added = {s: array("I", [i]).tobytes() for s, i in special.items()}
+        self.added_re = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         # ids are ordered as merges are, so ids serve as ranks
         self.engine = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.size = max(model["model"]["vocab"].values()) + 1
+        self.size = max([*model["model"]["vocab"].values(), *special.values()]) + 1
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.inner, self.heads = _Table(" ", self.encode, limit), _Table("", self.encode, limit)
 
     def encode(self, text: str) -> bytes:
         return array("I", self.engine.encode_ordinary(text)).tobytes()
 
+    def document(self, text: str) -> bytes:
+        """The ids of a whole text in which the file's added tokens stand for themselves; what lies between is encoded apart."""
+        if self.added_re is None or not (found := list(self.added_re.finditer(text))):
+            return self.ids(text)
+        out, at = [], 0
+        for m in found:
+            out += [self.ids(text[at : m.start()]), self.added[m.group()]]
+            at = m.end()
+        return b"".join([*out, self.ids(text[at:])])
+
     def ids(self, text: str) -> bytes:
-        """The ids of a whole text.
+        """The ids of a whole text as ordinary text, added tokens included.
 
         No token and no part of the pattern holds a space or line feed after a character that isn't white space, so texts
         part there; a single line feed is a part of its own.

@@ -279,3 +279,21 @@ def test_licences(spark):
     two = (2, ["GPL-3.0", "Proprietary"], ["gpl3-notice", "reserved"])
     assert got == sorted([(1, ["MIT"], ["mit-titled", "mit-text"]), two, two, (3, [], []), (4, [], []), (5, [], []), (None, ["CC0-1.0"], ["cc0-notice"])], key=str)
     assert licenses.scan(df.where("false")).count() == 0
+
+
+def test_packing_of_added_tokens(spark):
+    """The string of an added token at the start, in the middle, at the end, twice and in part, as `tokenizers` takes it."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    texts = [f"{e} b c", f"a {e} b", f"a b {e}", f"a{e}{e}b", e, f"a\n{e}\n b <|endof", f"a  {e}  b", "plain text"]
+    units = packing.byte_units(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for d, x in enumerate(texts):
+        ids = t.encode(x, add_special_tokens=False).ids
+        assert np.frombuffer(units.document(x), "<u4").tolist() == ids
+        want[d] = (zlib.crc32(np.array([*ids, 1], "<u4").tobytes()), len(ids) + 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = packing.pack(df, length=2048).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {d: n for d, (_, n) in want.items()}
+    whole = [r for r in rows if r.length == r.doc_tokens]
+    assert len(whole) > 1 and all(r.ids_crc32 == want[r.doc_id][0] for r in whole)
