@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -124,14 +126,24 @@ def wilcoxon(values: list[float], most: int = 20) -> tuple:
 
 
 def signed_rank(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The exact signed-rank test of each group of at most 20 nonzero values, as a grouped aggregate."""
+    """The exact signed-rank test of each group, as a grouped aggregate; status TOO_MANY and no figures but the counts for groups of more than 20 nonzero values."""
+    known = F.col(value).isNotNull() & ~F.isnan(value)
+    nonzero = F.count(F.when(known & (F.abs(value) > 1e-12), 1))
+    sizes = rows.groupBy(*keys).agg(F.count(F.when(known, 1)).alias("__n"), nonzero.alias("__nonzero"))
 
     def test(v: pd.Series) -> list[float]:
         return [float(x) for x in wilcoxon(v.tolist())]
 
     names = ("n", "n_zero", "w_plus", "w_minus", "rank_biserial", "p_value")
     udf = F.pandas_udf(_hinted(test), "array<double>")
-    return rows.groupBy(*keys).agg(udf(F.col(value)).alias("__t")).select(*keys, *[F.get("__t", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    few = sizes.where("__nonzero <= 20").select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = functools.reduce(operator.and_, [rows[k].eqNullSafe(few[f"__{k}"]) for k in keys])
+    tests = rows.join(few, same, "left_semi").groupBy(*keys).agg(udf(F.col(value)).alias("__t")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__t")
+    same = functools.reduce(operator.and_, [sizes[k].eqNullSafe(tests[f"__{k}"]) for k in keys])
+    counts = {"n": F.col("__n").cast("double"), "n_zero": (F.col("__n") - F.col("__nonzero")).cast("double")}
+    return sizes.join(tests, same, "left").select(
+        *keys, *[counts.get(n, F.get("__t", F.lit(i))).alias(n) for i, n in enumerate(names)], F.when(F.col("__nonzero") > 20, "TOO_MANY").otherwise("OK").alias("status")
+    )
 
 
 def _hinted(f):

@@ -189,13 +189,10 @@ def strict_totals(t: Tables) -> DataFrame:
 
 @query("a69_signed_rank")
 def signed_rank(t: Tables) -> DataFrame:
-    """Each nation's 18 customers of the largest balances against the mean of their segment."""
-    from pyspark.sql import Window
-
-    mean = F.avg("c_acctbal").over(Window.partitionBy("c_mktsegment"))
-    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey"))
-    rows = t.customer.withColumn("delta", F.round(F.col("c_acctbal") - mean, 6)).withColumn("r", rank).where("r <= 18")
-    return aggregates.signed_rank(rows, ["c_nationkey"], "delta")
+    """The quantities of each order's lines against the mean quantity of their part, over all lines."""
+    means = t.lineitem.groupBy("l_partkey").agg(F.avg("l_quantity").alias("mean"))
+    rows = t.lineitem.join(means.withColumnRenamed("l_partkey", "m_partkey"), F.col("l_partkey").eqNullSafe(F.col("m_partkey")))
+    return aggregates.signed_rank(rows.select("l_orderkey", F.round(F.col("l_quantity") - F.col("mean"), 6).alias("delta")), ["l_orderkey"], "delta")
 
 
 @query(

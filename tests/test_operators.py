@@ -123,3 +123,10 @@ def test_leaderboard_missing_scores(spark):
 def test_forbidden_fields(spark):
     df = spark.sql("SELECT 1 AS qa_id, named_struct('gt_span', 1, 'x', array(named_struct('label', 2))) AS s")
     assert audits.forbidden_fields(df.schema) == ["$.s.gt_span", "$.s.x[*].label"]
+
+
+def test_signed_rank_of_large_groups(spark):
+    """A group of 21 values has a status instead of a test; zeros don't count, and no row is left out."""
+    rows = [("big", float(i)) for i in range(1, 22)] + [("fits", float(i)) for i in range(21)] + [(None, 1.0), (None, None)]
+    got = {r.g: (r.n, r.n_zero, r.p_value, r.status) for r in aggregates.signed_rank(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    assert got == {"big": (21.0, 0.0, None, "TOO_MANY"), "fits": (21.0, 1.0, 2 / 2**20, "OK"), None: (1.0, 0.0, 1.0, "OK")}

@@ -50,3 +50,8 @@ def test_query(spark, duck, name):
         want = duck.sql(ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
+
+
+def test_signed_rank_has_all_rows(spark, duck):
+    got = QUERIES["a69_signed_rank"](spark, SF).toPandas()
+    assert got["n"].sum() == duck.sql("SELECT count(*) FROM lineitem WHERE l_quantity IS NOT NULL").df().iloc[0, 0]
