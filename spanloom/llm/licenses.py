@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -74,7 +76,7 @@ RULES = {
     "reserved": ("Proprietary", ["reserved"]),
 }
 
-#: Sentences end at a line's end or after one of these marks and white space.
+#: Known sentences part at a line's end or after one of these marks and white space.
 BREAK = r"(?<=[.!?:;])[\x20\x09-\x0D]+|[\n\r]+"
 
 
@@ -124,45 +126,99 @@ def match(hits: list[tuple[int, str]], gap: int = GAP) -> list[tuple[str, str, i
     return sorted((x for x in found if x not in inner), key=lambda x: (x[2], x[3], x[1]))
 
 
-def _normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+MATCH = pa.struct([("licence", pa.string()), ("rule", pa.string()), ("first", pa.int32()), ("last", pa.int32())])
+#: What stands before the text of a line in a comment.
+PREFIX = re.compile(r"^[\x20\x09]*(?:(?:<!--|[/*#;%!>|:-]+|dnl\b|rem\b)[\x20\x09]*)+", re.I)
+#: Sentences end within a line after one of these marks and white space, or at the line's end.
+MARKED = re.compile(r"(?<=[.!?:;])[\x20\x09\x0B\x0C]+")
+#: Bytes as `normal` takes them, but for runs of spaces.
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
 
-def sentence_hits(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, pos, ident: the known sentences of each text, at their number among its sentences."""
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame([*known()], "sentence string, ident string"))  # a fixed table
-    lengths = sorted({len(s) for s, _ in known()})
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.posexplode(F.split("text", BREAK)).alias("pos", "raw"))
-    # normalising doesn't lengthen, so shorter sentences can't be known ones
-    rows = rows.where(F.length("raw") >= lengths[0]).withColumn("sentence", _normal(F.col("raw")))
-    return rows.join(table, "sentence").select("doc_id", "text_hash", "pos", "ident")
+@lru_cache
+def _tables() -> tuple[dict[str, str], list[str]]:
+    """Identifiers by normalised sentence, and the sentences in order."""
+    ids = dict(known())
+    return ids, sorted(ids)
+
+
+def fragments(text: str) -> list[tuple[str, int]]:
+    """The parts of lines between marks, normalised, and what ends each: 2 a mark, 1 a blank line, 0 a line feed. Comment prefixes are left out."""
+    out: list[tuple[str, int]] = []
+    for line in re.split("\r\n|\n|\r", text):
+        parts = [x for x in MARKED.split(PREFIX.sub("", line)) if x.strip()]
+        words = [(normal(x), 2 if x.rstrip()[-1] in ".!?:;" else 0) for x in parts]
+        if not any(w for w, _ in words):
+            if out:
+                out[-1] = (out[-1][0], max(out[-1][1], 1))
+            continue
+        out.extend(words)
+    return out
+
+
+def sentence_hits(text: str) -> list[tuple[int, str]]:
+    """position, identifier: the known sentences of a text, at their number among its sentences.
+
+    Sentences end at marks and blank lines; single line feeds within one are spaces. A known sentence begins where a line or
+    sentence does and ends where one does, so titles without a mark are found on a line of their own; the longest counts. A
+    blank line may stand within a known sentence, as before the address in the Apache header.
+    """
+    ids, ordered = _tables()
+    parts = fragments(text)
+    hits, number, k, fresh = [], -1, 0, True
+    while k < len(parts):
+        now, best = "", None
+        for j in range(k, len(parts)):
+            now = f"{now} {parts[j][0]}".strip()
+            at = bisect_left(ordered, now)
+            if at == len(ordered) or not ordered[at].startswith(now):
+                break
+            if now in ids:
+                best = j
+                ident = ids[now]
+            if parts[j][1] == 2:
+                break
+        if best is None:
+            number += fresh
+            fresh = parts[k][1] > 0
+            k += 1
+        else:
+            number += 1
+            hits.append((number, ident))
+            k, fresh = best + 1, True
+    return hits
 
 
 def scan(docs: DataFrame, gap: int = GAP) -> DataFrame:
     """doc_id, n_sentences (known ones), licences (sorted, distinct), matches (licence, rule, first, last): one row for each row of `docs` (doc_id, text).
 
-    Sentences of the whole text are normalised (a-z and digits in lower case) and looked up in a fixed table; the identifiers
-    of a document, in order, are matched against the rules.
+    Sentences of the whole text, wrapped over lines or not, are normalised (a-z and digits in lower case) and looked up in a
+    fixed table; the identifiers of a document, in order, are matched against the rules. Nothing is exchanged.
 
     Null and empty texts, and texts without known sentences: 0 and empty arrays. Null doc_id and repeated rows: judged by
     their own text. Other columns are not read. An empty table gives an empty result.
     """
 
-    def rules(hits: pd.Series) -> pd.DataFrame:
-        found = [match(sorted({(h["pos"], h["ident"]) for h in x}), gap) for x in hits]
-        return pd.DataFrame({"licences": [sorted({m[0] for m in x}) for x in found], "matches": [[dict(zip(("licence", "rule", "first", "last"), m)) for m in x] for x in found]})
-
-    kind = "licences array<string>, matches array<struct<licence: string, rule: string, first: int, last: int>>"
-    hits = sentence_hits(docs).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "ident")).alias("hits"))
-    found = hits.select(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash"), F.size("hits").alias("n"), F.pandas_udf(rules, kind)("hits").alias("r"))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left").select(
-        "doc_id",
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_sentences"),
-        F.coalesce("r.licences", F.array().cast("array<string>")).alias("licences"),
-        F.coalesce("r.matches", F.array().cast("array<struct<licence: string, rule: string, first: int, last: int>>")).alias("matches"),
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = [f" {p} ".encode() for p in _tables()[1]]
+        for batch in batches:
+            sizes, licences, matches = [], [], []
+            for text in batch.column(1):
+                raw = text.as_py() or ""
+                hits: list[tuple[int, str]] = []
+                found: list[tuple[str, str, int, int]] = []
+                # known words in a row, wherever lines end; comment words are looked for only where there may be some
+                flat = b" " + b" ".join(raw.encode().translate(PLAIN).split()) + b" "
+                if any(p in flat for p in probes) or b" dnl " in flat or b" rem " in flat:
+                    hits = sentence_hits(raw)
+                    found = match(hits, gap)
+                sizes.append(len(hits))
+                licences.append(sorted({m[0] for m in found}))
+                matches.append([dict(zip(("licence", "rule", "first", "last"), m)) for m in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(licences, pa.list_(pa.string())), pa.array(matches, pa.list_(MATCH))], names=["doc_id", "n_sentences", "licences", "matches"])
+
+    schema = StructType.fromDDL("n_sentences long, licences array<string>, matches array<struct<licence: string, rule: string, first: int, last: int>>")
+    return docs.select("doc_id", "text").mapInArrow(run, StructType([docs.schema["doc_id"], *schema]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

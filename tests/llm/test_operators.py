@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -297,3 +298,26 @@ def test_packing_of_added_tokens(spark):
     assert {r.doc_id: r.doc_tokens for r in rows} == {d: n for d, (_, n) in want.items()}
     whole = [r for r in rows if r.length == r.doc_tokens]
     assert len(whole) > 1 and all(r.ids_crc32 == want[r.doc_id][0] for r in whole)
+
+
+def test_licences_wrapped(spark):
+    """Texts as they are in files: wrapped, in comments, with bullets and titles; marks end sentences wherever lines do."""
+    s = licenses.SENTENCES
+    fill = lambda *names, lead="", width=72: textwrap.fill(" ".join(s[n] for n in names), width, initial_indent=lead, subsequent_indent=lead, break_long_words=False, break_on_hyphens=False)
+    mit = "\n\n".join(["MIT License", "Copyright (c) 2020 X", fill("mit-grant"), fill("mit-condition"), fill("mit-warranty")])
+    close = "\n".join(["MIT License", "Copyright (c) 2020 X", fill("mit-grant", width=40)])
+    bsd = "Copyright (c) 2020, X\nAll rights reserved.\n\n" + fill("bsd-grant") + "\n\n1. " + fill("bsd-source") + "\n\n2. " + fill("bsd-binary") + "\n\n3. " + fill("bsd-endorse")
+    apache = ["# Copyright 2020 X", "#", *fill("apache-header", "apache-compliance", lead="# ", width=60).split("\n"), "# You may obtain a copy of the License at", "#", "#     http://www.apache.org/licenses/LICENSE-2.0", "#", "# Unless required"]
+    texts = {
+        1: (mit, ["mit-titled", "mit-text"], ["MIT"]),
+        2: (close, ["mit-titled"], ["MIT"]),
+        3: (bsd, ["reserved", "bsd3-text"], ["BSD-3-Clause", "Proprietary"]),
+        4: (fill("isc-grant", lead=" * ", width=78), ["isc-text"], ["ISC"]),
+        5: ("\n".join(apache), ["apache-header"], ["Apache-2.0"]),
+        6: (fill("gpl-free", lead=";; ") + "\n;;\n" + fill("gpl-hope", lead=";; ") + " without even\n;; more.\n" + fill("gpl-received", lead=";; "), ["gpl3-header"], ["GPL-3.0-or-later"]),
+        7: (fill("isc-grant", width=78).replace(" for any", "; for any"), [], []),
+        8: ("It says: no " + s["mit-notice"], [], []),
+    }
+    df = spark.createDataFrame([(d, t.replace("\n", "\r\n") if d == 4 else t) for d, (t, _, _) in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: ([m.rule for m in r.matches], r.licences) for r in licenses.scan(df).collect()}
+    assert got == {d: (rules, names) for d, (_, rules, names) in texts.items()}
