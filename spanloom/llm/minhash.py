@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +19,10 @@ SHINGLE, PERCENT = 5, 80
 MINIMA, BITS, BANDS, ROWS = 256, 4, 40, 4
 #: Standard deviations by which an estimate may fall short of the threshold before a candidate is given up.
 SIGMAS = 5.0
-#: Documents of a component, and documents asked about it, that meet at once, about.
+#: Documents of each side that meet at once, about.
 BLOCK = 256
+#: Tasks that a key with many rows is dealt over; a band is heavy if it has more than one entry in HEAVY, so there are at most HEAVY of them.
+SALT, HEAVY = 16, 1024
 
 _RNG = np.random.Generator(np.random.PCG64(7))
 _MUL = _RNG.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -113,11 +114,24 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids, "id", "left_semi")
 
 
+def _salt(ident: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(ident)), F.lit(SALT)).cast("int")
+
+
+def _looked_up(rows: DataFrame, key: str, ident: str, table: DataFrame) -> DataFrame:
+    """`rows` with the columns of `table` at `key`, unique there; null where it has none.
+
+    Rows that share a key are dealt over SALT tasks by `ident`, and the table's row is sent to those that have any.
+    """
+    rows = rows.withColumn("salt", _salt(ident))
+    found = rows.select(key, "salt").distinct().join(table, key)
+    return rows.join(found, [key, "salt"], "left").drop("salt")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of `pairs` (a, na, b, nb) those whose full sets, of na and nb shingles, have the similarity."""
-    left = texts.select(F.col("id").alias("a"), F.col("z").alias("za"))
-    right = texts.select(F.col("id").alias("b"), F.col("z").alias("zb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "na", "b", "nb", "za", "zb")
+    rows = _looked_up(pairs, "b", "a", texts.select(F.col("id").alias("b"), F.col("z").alias("zb")))
+    rows = rows.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").where("zb IS NOT NULL").select("a", "na", "b", "nb", "za", "zb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,23 +157,25 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """id, comp: the smallest identifier that each end of `links` (a, b) reaches.
 
-    Rounds of taking the least label among neighbours and then the label of the label; each round is a table in the
-    shared folder. Ends once a round changes nothing.
+    Rounds of taking the least label among neighbours and then the label of the label; each step is a table in the
+    shared folder, so plans stay short. Ends once a round changes nothing.
     """
     both = common.stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = common.stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        for _ in range(2):
-            jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-            step = step.join(jump, "comp", "left").select("id", "old", F.least("comp", "root").alias("comp"))
-        new = common.stored(step, "labels")
+        near = _looked_up(both, "b", "a", labels.select(F.col("id").alias("b"), "comp")).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+        step = common.stored(labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("low")), "labels")
+        new = common.stored(_jumped(step, labels), "labels")
         labels = new.select("id", "comp")
-        if not new.where("comp != old").limit(1).count():
+        if new.where("comp != old").isEmpty():
             return labels
 
 
+def _jumped(step: DataFrame, labels: DataFrame) -> DataFrame:
+    root = labels.select(F.col("id").alias("low"), F.col("comp").alias("root"))
+    return _looked_up(step, "low", "id", root).select("id", "old", F.least("low", "root").alias("comp"))
+
+
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of `docs` (doc_id, text).
 
@@ -168,10 +184,11 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     candidates; those whose b-bit estimate reaches the threshold, less a margin of standard deviations, are confirmed on
     the full sets. component_id is the smallest doc_id reachable by links, kept whether it is the document's own.
 
-    No bucket's pairs are listed: a class is compared with the first and last of its buckets and confirmed with the best.
-    Then classes outside their bucket's largest component are asked about that component, in blocks, and joined to it by the first
-    link that is confirmed; then the few that are left, and classes of buckets where nothing is linked, are compared among
-    themselves. This goes on until no candidates of different components are left that aren't refuted.
+    No bucket's pairs are listed. A class is estimated against the first and last of its buckets and confirmed with the best,
+    which gives first components. Then, in one pass, every pair of a bucket that lies in different components meets, in
+    blocks of numpy arrays: documents outside their bucket's largest component with all of that component, and with each
+    other. Blocks give links, at most one for a document and component, so what is written never grows with the square of a
+    group; a group that no link holds together is compared pair by pair all the same, as nothing less would be exact.
 
     Null and empty texts: n_shingles 0, linked with nothing. Null doc_id: linked with nothing, null component, kept.
     Rows that repeat a doc_id: each judged by its own text; links of any of them are the document's. Other columns are
@@ -181,32 +198,37 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     rows = common.stored(_signed(docs, size), "signed")
     real = rows.where("n > 0 AND doc_id IS NOT NULL")
     nodes = common.stored(real.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).drop("f1", "f2"), "nodes")
-    entries = nodes.select("id", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    members = common.stored(entries.join(shared, "band"), "members")
+    members = _members(nodes)
     texts = common.stored(_texts(docs, members.select("id").distinct()), "texts")
     signs = nodes.select("id", "n", "sig")
+    best = common.stored(_best(members, signs, percent, cut), "best")
+    labels = components(common.stored(_confirmed(best, texts, size, percent), "confirmed"))
+    meetings = _meetings(_placed(members, labels), labels)
+    near = common.stored(_dealt(meetings.join(signs, "id")).mapInArrow(_near(percent, cut), "g long, side int, comp long, id long, n long"), "near")
+    links = common.stored(_dealt(near.join(texts, "id")).mapInArrow(_linked(size, percent), "a long, ca long, b long, cb long"), "linked")
+    return _labelled(rows, real, _merged(labels, links))
 
-    def with_sign(pairs: DataFrame, end: str) -> DataFrame:
-        return pairs.join(signs.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("sig").alias(f"s{end}")), end)
 
-    star = members.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b").distinct()
-    star = with_sign(with_sign(star, "a"), "b").where(_sizes_fit("na", "nb", percent)).select("a", "na", "b", "nb", estimate(F.col("sa"), F.col("sb")).alias("est")).where(F.col("est") >= cut)
-    best = star.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("est", F.col("b"))).alias("best")).select("a", "na", "best.b", "best.nb")
-    labels = components(_confirmed(best, texts, size, percent))
-    while True:
-        placed = _placed(members, labels)
-        asked = common.stored(_asked(placed, labels, signs, percent, cut), "asked")
-        if asked.limit(1).count():
-            links = _answered(asked, texts, size, percent)
-            if (joined := _merged(labels, common.stored(links, "confirmed"))) is not None:
-                labels = joined
-                continue
-        pairs = common.stored(_outside(placed, signs, percent, cut), "pairs")
-        joined = _merged(labels, common.stored(_confirmed(pairs, texts, size, percent), "confirmed")) if pairs.limit(1).count() else None
-        if joined is None:
-            return _labelled(rows, real, labels)
-        labels = joined
+def _members(nodes: DataFrame) -> DataFrame:
+    """band, salt, salts, low, high, id: the entries of buckets with several classes. A heavy band's are dealt over SALT salts."""
+    entries = nodes.select("id", F.explode("bands").alias("band"))
+    sizes = entries.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    sizes = common.stored(sizes, "buckets")
+    most = max(BLOCK, nodes.count() * BANDS // HEAVY)
+    heavy = F.broadcast(sizes.where(F.col("size") > most).select("band", F.lit(SALT).alias("salts")))  # at most HEAVY rows
+    salts = F.when(F.col("size") > most, SALT).otherwise(1)
+    buckets = sizes.select("band", "low", "high", salts.alias("salts")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = entries.join(heavy, "band", "left").select("band", "id", F.when(F.col("salts").isNull(), 0).otherwise(_salt("id")).alias("salt"))
+    return common.stored(dealt.join(buckets, ["band", "salt"]), "members")
+
+
+def _best(members: DataFrame, signs: DataFrame, percent: int, cut: float) -> DataFrame:
+    """a, na, b, nb: for each class that of the first and last ones of its buckets which is nearest by estimate, if near enough."""
+    pairs = common.stored(members.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b").distinct(), "pairs")
+    of = lambda end: signs.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("sig").alias(f"s{end}"))
+    both = _looked_up(pairs, "b", "a", of("b")).join(of("a"), "a").where(_sizes_fit("na", "nb", percent))
+    both = both.select("a", "na", "b", "nb", estimate(F.col("sa"), F.col("sb")).alias("est")).where(F.col("est") >= cut)
+    return both.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("est", F.col("b"))).alias("best")).select("a", "na", "best.b", "best.nb")
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
@@ -214,110 +236,143 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame | None:
-    """Labels after more links (a, b) between components; None where no link is new. Only the graph of components is walked."""
-    at = lambda end: labels.select(F.col("id").alias(end), F.col("comp").alias(f"c{end}"))
-    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-    new = common.stored(ends.where("ca != cb"), "new")
-    if not new.limit(1).count():
-        return None
-    roots = components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-    known = labels.unionByName(new.select(F.explode(F.array("a", "b")).alias("id")).join(labels, "id", "left_anti").distinct().withColumn("comp", F.col("id")))
-    return common.stored(known.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "labels")
-
-
 def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """band, id, comp, main, main_size: members of the buckets that hold several components, with the largest of these."""
-    placed = members.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-    sizes = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("size"))
+    """band, id, comp, main, main_size, few: members of the buckets that hold several components, with the largest of these and the number of members outside it."""
+    placed = common.stored(members.select("band", "salt", "salts", "id").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
+    sizes = placed.groupBy("band", "salts", "comp").agg(F.count(F.lit(1)).alias("size"))
     top = F.max(F.struct("size", "comp")).alias("top")
-    open_ = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), top).where("comps > 1").select("band", F.col("top.comp").alias("main"), F.col("top.size").alias("main_size"))
-    return common.stored(placed.join(open_, "band"), "placed")
+    open_ = sizes.groupBy("band", "salts").agg(F.count(F.lit(1)).alias("comps"), F.sum("size").alias("of"), top).where("comps > 1")
+    open_ = open_.select("band", F.col("top.comp").alias("main"), F.col("top.size").alias("main_size"), "of", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    few = F.when(F.col("main_size") > 1, F.col("of") - F.col("main_size")).otherwise(F.col("of"))
+    return common.stored(placed.join(open_, ["band", "salt"]).select("band", "id", "comp", "main", "main_size", few.alias("few")), "placed")
+
+
+def _block_pairs(rows: DataFrame, group: Column) -> DataFrame:
+    """g, side, comp, id: each row of a group (blocks, comp, id) in each pair of blocks that has its own; in a pair with itself it meets all others (side 2)."""
+    own, other = F.col("own"), F.col("other")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(own == other, 2).when(own < other, 0).otherwise(1)
+    return rows.select(F.xxhash64(group, F.least(own, other), F.greatest(own, other)).alias("g"), side.alias("side"), "comp", "id")
 
 
-def _asked(placed: DataFrame, labels: DataFrame, signs: DataFrame, percent: int, cut: float) -> DataFrame:
-    """comp, mb, qb, asks, id, n: documents that share a bucket with a component of several and aren't in it, and the component's documents, block by block.
+def _meetings(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """g, side, comp, id: who meets whom. In a group, side 0 meets side 1, and members of side 2 meet each other.
 
-    Component and askers are dealt to blocks of about BLOCK, and each block of one meets each of the other. First only
-    signatures meet: an asker that no document of the component is near by estimate is let go.
+    Documents outside their bucket's main component meet each other, bucket by bucket, and all blocks of that component.
     """
-    askers = placed.where("comp != main AND main_size > 1").select(F.col("main").alias("comp"), "id").distinct()
-    askers = askers.join(signs, "id").withColumn("asks", F.lit(True))
-    wanted = askers.select("comp").distinct()
-    inside = labels.join(wanted, "comp").join(signs, "id").withColumn("asks", F.lit(False))
-    near = _blocks(askers, inside, "sig").groupBy("comp", "mb", "qb").applyInPandas(_near(percent, cut), "comp long, id long")
-    left = askers.join(near.distinct(), ["comp", "id"], "left_semi")
-    return _blocks(left.drop("sig"), inside.drop("sig").join(left.select("comp").distinct(), "comp"), None)
-
-
-def _blocks(askers: DataFrame, inside: DataFrame, payload: str | None) -> DataFrame:
-    kinds = [c for c in ("comp", "id", "n", payload, "asks") if c]
-    counts = inside.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m")).join(askers.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("q")), "comp")
+    few = placed.where("(comp != main OR main_size = 1) AND few > 1")
+    among = _block_pairs(few.select("band", "comp", "id", F.ceil(F.col("few") / BLOCK).cast("int").alias("blocks")), F.col("band"))
+    asks = common.stored(placed.where("comp != main AND main_size > 1").select(F.col("main").alias("of"), "comp", "id").distinct(), "asks")
+    sizes = labels.groupBy(F.col("comp").alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("m"))
+    wanted = asks.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("q")).join(sizes, "of")
+    wanted = common.stored(wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), "wanted")
+    key = lambda: F.xxhash64("of", "mb", "qb", F.lit("asks")).alias("g")
     own = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    q = askers.select(*kinds).join(counts, "comp").withColumn("qb", own("q")).withColumn("mb", every("m"))
-    m = inside.select(*kinds).join(counts, "comp").withColumn("mb", own("m")).withColumn("qb", every("q"))
-    return q.unionByName(m).drop("m", "q")
+    q = asks.withColumn("salt", _salt("id")).join(wanted, ["of", "salt"]).withColumn("qb", own("q")).withColumn("mb", every("m")).select(key(), F.lit(0).alias("side"), "comp", "id")
+    m = labels.withColumn("of", F.col("comp")).withColumn("salt", _salt("id")).join(wanted, ["of", "salt"]).withColumn("mb", own("m")).withColumn("qb", every("q"))
+    return among.unionByName(q).unionByName(m.select(key(), F.lit(1).alias("side"), "comp", "id"))
 
 
-def _near(percent: int, cut: float):
-    """Of a block's askers those that some document of the component is near to by size and estimate."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("g").sortWithinPartitions("g")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, m = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        if not len(q) or not len(m):
-            return pdf.loc[[], ["comp", "id"]]
-        sigs, sizes = np.stack(m["sig"].tolist()).view(np.uint64), m["n"].to_numpy()
-        keep = [bool((_estimates(np.asarray(s, np.int64).view(np.uint64), sigs)[100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)] >= cut).any()) for s, n in zip(q["sig"], q["n"])]
-        return q.loc[keep, ["comp", "id"]]
 
-    return run
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows in order of `g`, several whole groups at a time, with the bounds of the groups."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pa.concat_batches([held, batch])
+        g = held.column("g").to_numpy()
+        edges = np.flatnonzero(g[1:] != g[:-1]) + 1
+        if len(edges):
+            yield held.slice(0, int(edges[-1])), np.concatenate([[0], edges])
+            held = held.slice(int(edges[-1]))
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
 
 
-def _estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    x = one ^ many
-    folded = x
+def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarities of each signature in `a` and each in `b`."""
+    folded = a[:, None, :] ^ b[None, :, :]
+    whole = folded.copy()
     for k in range(1, BITS):
-        folded = folded | (x >> np.uint64(k))
-    differ = np.bitwise_count(folded & np.uint64(int("1" * (64 // BITS), 1 << BITS))).sum(1)
+        folded |= whole >> np.uint64(k)
+    differ = np.bitwise_count(folded & np.uint64(int("1" * (64 // BITS), 1 << BITS))).sum(2, dtype=np.int64)
     chance = 2.0**-BITS
     return (1 - differ / MINIMA - chance) / (1 - chance)
 
 
-def _answered(asked: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: for each asker and block the first document of the component, nearest first by estimate, that the full sets confirm as linked; askers without one have none."""
-    cut = least_estimate(percent)
+def _meeting(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a group that ask and rows that answer."""
+    return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+
+
+def _near(percent: int, cut: float):
+    """The rows that some row they meet, of another component, is near to by size and estimate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in _groups(batches):
+            side, comp, n = (batch.column(c).to_numpy() for c in ("side", "comp", "n"))
+            sig = batch.column("sig").flatten().to_numpy().view(np.uint64).reshape(-1, _LONGS)
+            keep = np.zeros(len(side), bool)
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                q, m = _meeting(side[lo:hi])
+                if hi - lo < 2 or not len(q) or not len(m):
+                    continue
+                q, m = q + lo, m + lo
+                fit = 100 * np.minimum(n[q][:, None], n[m]) >= percent * np.maximum(n[q][:, None], n[m])
+                fit &= comp[q][:, None] != comp[m]
+                if fit.any():
+                    fit &= _estimates(sig[q], sig[m]) >= cut
+                    keep[q[fit.any(1)]] = True
+                    keep[m[fit.any(0)]] = True
+            yield batch.filter(pa.array(keep)).select(["g", "side", "comp", "id", "n"])
+
+    return run
+
+
+def _linked(size: int, percent: int):
+    """a, ca, b, cb: for each row that asks, and each other component that it meets, the first linked row by the full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in _groups(batches):
+            side, comp, ids, n = (batch.column(c).to_numpy() for c in ("side", "comp", "id", "n"))
+            out: list[tuple[int, int, int, int]] = []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                q, m = _meeting(side[lo:hi])
+                if not len(q) or not len(m):
+                    continue
+                sets = [_set_of(z.as_py(), size) for z in batch.column("z").slice(lo, hi - lo)]
+                lengths = np.array([len(s) for s in sets])
+                right = lengths == n[lo:hi]  # another text under the same identifier has another size
+                items = np.concatenate([sets[k] for k in m])
+                order = np.argsort(items, kind="stable")
+                items, owner = items[order], np.repeat(np.arange(len(m)), lengths[m])[order]
+                for k in q.tolist():
+                    if not right[k]:
+                        continue
+                    first, count = np.searchsorted(items, sets[k], "left"), np.searchsorted(items, sets[k], "right")
+                    count -= first
+                    at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                    both = np.bincount(owner[at], minlength=len(m))
+                    link = right[m] & (comp[lo:hi][m] != comp[lo + k]) & (100 * both >= percent * (lengths[k] + lengths[m] - both))
+                    if side[lo + k] == 2:
+                        link &= comp[lo:hi][m] > comp[lo + k]  # the other one asks too
+                    at = m[link] + lo
+                    for c, b in dict(zip(comp[at][::-1].tolist(), ids[at][::-1].tolist())).items():
+                        out.append((int(ids[lo + k]), int(comp[lo + k]), b, c))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["a", "ca", "b", "cb"])
+
+    return run
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, m = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        out: list[tuple[int, int]] = []
-        if len(q) and len(m):
-            sets = [_set_of(z, size) for z in m["z"]]
-            sigs, sizes = np.stack([signature(minima(s))[1].view(np.uint64) for s in sets]), np.array([len(s) for s in sets])
-            ids, right = m["id"].tolist(), sizes == m["n"].to_numpy()
-            for a, n, z in zip(q["id"].tolist(), q["n"].tolist(), q["z"]):
-                x = _set_of(z, size)
-                if len(x) != n:
-                    continue  # another text under the same identifier
-                est = np.where(right & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)), _estimates(signature(minima(x))[1].view(np.uint64), sigs), -1.0)
-                for k in np.argsort(-est, kind="stable"):
-                    if est[k] < cut:
-                        break
-                    if _similar(x, sets[k], percent):
-                        out.append((a, ids[k]))
-                        break
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return asked.join(texts, "id").groupBy("comp", "mb", "qb").applyInPandas(run, "a long, b long")
-
-
-def _outside(placed: DataFrame, signs: DataFrame, percent: int, cut: float) -> DataFrame:
-    """a, na, b, nb: candidates in different components of a bucket of which neither is in its main component, where that is of several."""
-    few = placed.where("main_size = 1 OR comp != main").join(signs, "id")
-    a = few.select("band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("comp").alias("ca"))
-    b = few.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("comp").alias("cb"))
-    fit = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent) & (estimate(F.col("sa"), F.col("sb")) >= cut)
-    return a.join(b, (a["band"] == b["band"]) & fit).select("a", "na", "b", "nb").distinct()
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links (a, ca, b, cb) between components; only the graph of components is walked."""
+    roots = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+    alone = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").withColumn("comp", F.col("id"))
+    known = common.stored(labels.unionByName(alone), "labels")
+    return common.stored(_looked_up(known, "comp", "id", roots).select("id", F.coalesce("root", "comp").alias("comp")), "labels")
 
 
 def _labelled(rows: DataFrame, real: DataFrame, labels: DataFrame) -> DataFrame:
