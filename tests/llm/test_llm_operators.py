@@ -171,7 +171,7 @@ def test_pieces_of_random_texts():
 
 def test_packing(docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = True  # ids of texts without added tokens; those have a test of their own
     want = collections.defaultdict(list)
     for d, x, _ in corpus():
         want[d].append([*t.encode(x or "", add_special_tokens=False).ids, 1])
@@ -211,7 +211,7 @@ def test_cuts_are_the_best():
 
 def test_unit_ids():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = True  # ids of texts without added tokens; those have a test of their own
     units = packing.byte_units(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(8)
     parts = ["a", " ", " ", "  ", "\n", "\n\n", "\t", "é", "日", ".", "ing", "'s", "\x85", " ", "\xa0", "\x1f", "12", "<|endoftext|>", "﻿", "B"]
