@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = "▁"
-#: Units, and pairs of tokens, that the tables of a task hold at most; emptied when full.
-LIMIT = 500_000
+#: Pairs of tokens, and characters of units, that the tables of a task hold at most; emptied when full. Longer units aren't held.
+LIMIT, CHARS, LONG = 500_000, 8_000_000, 200
 #: Pieces under this score have the same score as others.
 EQUAL = -1e8
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -30,20 +30,21 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 
 
 class Units(dict):
-    """Unit to the bytes of its ids. odd: what units decode to, for those that don't decode to themselves."""
+    """Unit to the bytes of its ids and the text that these ids decode to; bounded by the characters of its units."""
 
-    def __init__(self, model: PieceBpe, limit: int) -> None:
-        super().__init__({"": b""})
-        self.model, self.limit, self.odd = model, limit, {}
+    def __init__(self, model: PieceBpe, limit: int = CHARS) -> None:
+        super().__init__()
+        self.model, self.limit, self.held = model, limit, 0
 
-    def __missing__(self, unit: str) -> bytes:
+    def __missing__(self, unit: str) -> tuple[bytes, str]:
         ids = self.model.unit(unit)
-        if (text := self.model.join(ids)) != unit.replace(SPACE, " "):
-            self.odd[unit] = text
-        if len(self) >= self.limit:
-            self.clear()
-            self[""] = b""
-        out = self[unit] = array("I", ids).tobytes()
+        out = array("I", ids).tobytes(), self.model.join(ids)
+        if len(unit) <= LONG:
+            if self.held >= self.limit:
+                self.clear()
+                self.held = 0
+            self.held += len(unit)
+            self[unit] = out
         return out
 
 
@@ -56,7 +57,7 @@ class PieceBpe:
     a space inside, so texts part before spaces, and parts are encoded once.
     """
 
-    def __init__(self, path: str, limit: int = LIMIT) -> None:
+    def __init__(self, path: str, limit: int = LIMIT, chars: int = CHARS) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.limit, self.score, self.id, self.surface, self.byte = limit, {}, {}, {}, {}
         self.automaton = ahocorasick.Automaton()
@@ -75,7 +76,7 @@ class PieceBpe:
         self.pairs: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int] | None | str] = {}
         self.low: dict[int, float] = {}
-        self.units = Units(self, limit)
+        self.units = Units(self, chars)
 
     def merge(self, text: str) -> list[str]:
         """The merges one by one: of neighbours that make a piece, the best score first, then the leftmost."""
@@ -180,7 +181,10 @@ class PieceBpe:
         return out[::-1]
 
     def parts(self, text: str) -> tuple[bytes, str]:
-        """Bytes of the ids (little-endian unsigned 32 bits) of a text, and their decoded text with the space that is put first."""
+        """Bytes of the ids (little-endian unsigned 32 bits) of a text, and what the ids decode to, with the space that is put first.
+
+        Both are put together of units. A run of byte ids may go on from unit to unit, but characters don't, so units decode apart.
+        """
         if not text:
             return b"", ""
         spaced = SPACE + text.replace(" ", SPACE)
@@ -188,8 +192,8 @@ class PieceBpe:
             units = _RUNS.findall(spaced)
         else:  # no unit holds a space, so spaces can part them; empty ones do no harm
             units = spaced.replace(SPACE, " " + SPACE).replace("\n", " \n ").split(" ")
-        ids = b"".join(map(self.units.__getitem__, units))
-        return ids, "".join([self.units.odd.get(x, x) for x in units]).replace(SPACE, " ") if self.units.odd else spaced.replace(SPACE, " ")
+        known = [self.units[x] for x in units if x]
+        return b"".join([ids for ids, _ in known]), "".join([x for _, x in known])
 
     def encode(self, text: str) -> list[int]:
         """Ids with begin and end."""
