@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A line is above the limits when more than MIN_DOCS different documents of its host have it, and more than SHARE of them.
-MIN_DOCS, SHARE = 100, 0.02
+#: A line is above the limits when at least MIN_DOCS documents of its host have it, and more than SHARE of them: a share behaves alike at every size.
+MIN_DOCS, SHARE = 5, 0.02
 #: A document is depleted when less than this share of its words is left.
 LEFT = 0.5
 
@@ -75,13 +75,14 @@ def _line_rows(docs: DataFrame) -> DataFrame:
 
 
 def common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """source, line: hashes of normalised lines that more than `min_docs` different texts of a host have, and more than `share` of its texts.
+    """source, line: hashes of normalised lines that at least `min_docs` documents of a host have, and more than `share` of its documents.
 
-    Exact copies count as one document, so that copies alone don't make a line common. Counts are taken before the
-    exchange, so a line or host with a third of all rows arrives as a few partial counts.
+    Documents are distinct doc_ids on both sides; rows that repeat one count once, and rows without one together as one.
+    Counts are taken before the exchange, so a line or host with a third of all rows arrives as a few partial counts.
     """
-    lines = _line_rows(docs).groupBy("source", "line").agg(F.countDistinct("text_hash").alias("docs")).where(F.col("docs") > min_docs)
-    hosts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("of"))
+    doc = F.struct("doc_id")  # counts null as a value
+    lines = _line_rows(docs).groupBy("source", "line").agg(F.countDistinct(doc).alias("docs")).where(F.col("docs") >= min_docs)
+    hosts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.countDistinct(doc).alias("of"))
     return lines.join(hosts, "source").where(F.col("docs") > share * F.col("of")).select("source", "line")
 
 
@@ -119,9 +120,9 @@ rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc
 rw AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM rep) GROUP BY doc_id),
 l AS (SELECT doc_id, source, text, line FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
-nl AS (SELECT doc_id, source, text, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM l),
-hosts AS (SELECT source, count(*) AS of FROM d GROUP BY source),
-freq AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT text) AS docs FROM nl GROUP BY source, line) JOIN hosts USING (source) WHERE docs > 100 AND docs > 0.02 * of),
+nl AS (SELECT doc_id, source, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM l),
+hosts AS (SELECT source, count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS of FROM d GROUP BY source),
+freq AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS docs FROM nl GROUP BY source, line) JOIN hosts USING (source) WHERE docs >= 5 AND docs > 0.02 * of),
 gone AS (SELECT doc_id, sum(len(string_split(line, ' ')))::BIGINT AS gone FROM nl JOIN freq USING (source, line) GROUP BY doc_id),
 f AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
