@@ -17,14 +17,14 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n-1) modulo 2**64; kept up to a million."""
+    """base**0 to base**(n-1) modulo 2**64; kept up to 2**17."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         out = np.full(max(n, 1 << 16), _U(base))
         out[0] = 1
         with np.errstate(over="ignore"):
             out = np.multiply.accumulate(out)
-        if n <= 1 << 20:
+        if n <= 1 << 17:
             _POWERS[base] = out
         have = out
     return have[:n]

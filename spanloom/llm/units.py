@@ -14,8 +14,8 @@ from functools import lru_cache
 import public_tokenizers
 import tiktoken
 
-#: Units that a table holds at most.
-LIMIT = 400_000
+#: Units that a table holds at most; longer ones aren't held.
+LIMIT, LONG = 80_000, 200
 
 #: White space, and what some library takes for it; zero-width and control characters to be safe.
 _SPACE = r"\x00-\x20\x7f\x85\xa0 ᠎ -‏ -  -⁤　﻿"
@@ -32,9 +32,11 @@ class _Table(dict):
         self.prefix, self.encode, self.limit = prefix, encode, limit
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[unit] = self.encode(self.prefix + unit)
+        out = self.encode(self.prefix + unit)
+        if len(unit) <= LONG:
+            if len(self) >= self.limit:
+                self.clear()
+            self[unit] = out
         return out
 
 
