@@ -64,9 +64,10 @@ def first_reason(reasons: list[tuple[str, Column]]) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
+    """Bytes in the largest unit that fits, two decimals, ties to even."""
     out = F.concat(F.format_string("%d", n.cast("long")), F.lit(" B"))
     for unit, power in (("KiB", 1), ("MiB", 2), ("GiB", 3), ("TiB", 4)):
-        out = F.when(n >= 1024**power, F.concat(F.format_string("%.2f", n / float(1024**power)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1024**power, F.concat(F.format_string("%.2f", F.bround(n / float(1024**power), 2)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

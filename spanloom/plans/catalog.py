@@ -1,6 +1,6 @@
 """Every query over the driver's tables, with its SQL."""
 
-from . import aggregation, joining, ordering, scalars, states, temporal  # noqa: F401
+from . import aggregation, audits, evaluators, joining, ordering, parsing, scalars, states, temporal, verdicts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
