@@ -187,7 +187,20 @@ def strict_totals(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_suppkey").agg(F.round(aggregates.strict_sum(v), 6).alias("strict"), F.round(F.coalesce(F.sum(v), F.lit(0.0)), 6).alias("loose"))
 
 
-@query("a69_signed_rank")
+@query(
+    "a69_signed_rank",
+    """WITH RECURSIVE m AS (SELECT l_partkey, avg(l_quantity) AS mean FROM lineitem GROUP BY 1), v AS (SELECT l_orderkey AS k, round(l_quantity - mean, 6) AS d FROM lineitem JOIN m USING (l_partkey)),
+z AS (SELECT k, d, 2 * rank() OVER (PARTITION BY k ORDER BY abs(d)) + count(*) OVER (PARTITION BY k, abs(d)) - 1 AS r2, row_number() OVER (PARTITION BY k ORDER BY abs(d), d) AS i FROM v WHERE abs(d) > 1e-12),
+g AS (SELECT k, count(*) AS n, sum(r2) AS total, sum(r2) FILTER (d > 0) AS plus FROM z GROUP BY 1),
+w(k, i, ways) AS (SELECT k, 0::BIGINT, list_prepend(1::BIGINT, list_transform(range(total::BIGINT), lambda x: 0::BIGINT)) FROM g WHERE n <= 20
+ UNION ALL SELECT w.k, w.i + 1, list_transform(range(len(ways)), lambda j: ways[j + 1] + CASE WHEN j >= z.r2 THEN ways[j - z.r2 + 1] ELSE 0 END) FROM w JOIN z ON z.k = w.k AND z.i = w.i + 1),
+f AS (SELECT w.k, ways FROM w JOIN g ON w.k = g.k AND w.i = g.n),
+c AS (SELECT k, count(*)::DOUBLE AS n, count(*) FILTER (abs(d) <= 1e-12)::DOUBLE AS n_zero FROM v GROUP BY 1)
+SELECT c.k AS l_orderkey, c.n, c.n_zero, CASE WHEN g.n > 20 THEN NULL ELSE coalesce(plus, 0) / 2 END AS w_plus, CASE WHEN g.n > 20 THEN NULL ELSE (coalesce(total, 0) - coalesce(plus, 0)) / 2 END AS w_minus,
+  CASE WHEN g.n > 20 THEN NULL WHEN total > 0 THEN (2 * coalesce(plus, 0) - total) / total ELSE 0 END AS rank_biserial,
+  CASE WHEN g.n > 20 THEN NULL WHEN g.n IS NULL THEN 1 ELSE least(1, 2 * list_sum(ways[1:least(coalesce(plus, 0), total - coalesce(plus, 0))::BIGINT + 1]) / 2 ** g.n) END AS p_value, CASE WHEN g.n > 20 THEN 'TOO_MANY' ELSE 'OK' END AS status
+FROM c LEFT JOIN g USING (k) LEFT JOIN f USING (k)""",
+)
 def signed_rank(t: Tables) -> DataFrame:
     """The quantities of each order's lines against the mean quantity of their part, over all lines."""
     means = t.lineitem.groupBy("l_partkey").agg(F.avg("l_quantity").alias("mean"))

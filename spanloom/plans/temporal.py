@@ -144,20 +144,33 @@ w(k, r, used, ps, gs, iou) AS (SELECT DISTINCT k, 0::BIGINT, []::BIGINT[], []::B
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY r DESC) AS z FROM w) WHERE z = 1)"""
 
 
-@query("j22_greedy_match")
+@query("j22_greedy_match", _GREEDY + " SELECT k, unnest(ps) AS p, unnest(gs) AS g, round(unnest(iou), 6) AS iou FROM f")
 def greedy_match(t: Tables) -> DataFrame:
     rows = _matched(t).select("k", "ps", "gs", F.explode("m").alias("x"))
     return rows.select("k", F.get("ps", F.col("x.p"))["p"].alias("p"), F.get("gs", F.col("x.g"))["g"].alias("g"), F.round("x.iou", 6).alias("iou"))
 
 
-@query("a02_match_scores")
+@query(
+    "a02_match_scores",
+    _GREEDY
+    + """, n AS (SELECT len(ps) AS m, list_sum(iou) AS total, (SELECT count(*) FROM pr WHERE pr.k = f.k) AS np, (SELECT count(*) FROM gt WHERE gt.k = f.k) AS ng FROM f)
+SELECT round(avg(m / ng), 6) AS recall, round(avg(m / np), 6) AS precision, round(avg(CASE WHEN m > 0 THEN 2 * (m / np) * (m / ng) / (m / np + m / ng) ELSE 0 END), 6) AS f1, round(avg(CASE WHEN m > 0 THEN total / m ELSE 0 END), 6) AS mean_iou, count(*) AS n FROM n""",
+)
 def match_scores(t: Tables) -> DataFrame:
     rows = _matched(t)
     s = matching.scores(F.col("m"), F.size("ps"), F.size("gs"))
     return rows.select(*[c.alias(n) for n, c in s.items()]).agg(*[F.round(F.avg(n), 6).alias(n) for n in s], F.count(F.lit(1)).alias("n"))
 
 
-@query("t02_temporal_suppression")
+@query(
+    "t02_temporal_suppression",
+    """WITH RECURSIVE d AS (SELECT user_id, ts::DATE::VARCHAR AS id, round(avg(value), 6) AS margin, count(*)::DOUBLE AS scale, min(floor(epoch(ts))) AS s, max(floor(epoch(ts))) + 86400 AS e FROM events GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY -margin, scale, s, id) AS r FROM d),
+w(user_id, r, kept, id, status, suppressor) AS (SELECT DISTINCT user_id, 0::BIGINT, []::STRUCT(id VARCHAR, s DOUBLE, e DOUBLE)[], NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM o
+ UNION ALL SELECT user_id, r, CASE WHEN b IS NULL AND len(kept) < 5 THEN list_append(kept, {'id': id, 's': s, 'e': e}) ELSE kept END, id, CASE WHEN b IS NOT NULL THEN 'SUPPRESSED' WHEN len(kept) < 5 THEN 'SELECTED' ELSE 'NOT_SELECTED_BUDGET' END, b
+ FROM (SELECT o.*, w.kept, list_filter(w.kept, lambda k: greatest(0, least(k.e, o.e) - greatest(k.s, o.s)) / (greatest(k.e, o.e) - least(k.s, o.s)) >= 0.3)[1].id AS b FROM w JOIN o ON o.user_id = w.user_id AND o.r = w.r + 1))
+SELECT user_id, id, r AS rank, status, suppressor FROM w WHERE r > 0""",
+)
 def suppression(t: Tables) -> DataFrame:
     """Windows of a user's day: margin is the mean value, scale the number of events."""
     s = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
