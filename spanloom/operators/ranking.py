@@ -8,33 +8,68 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of the order of a table that are sorted apart.
+PARTS = 64
+
+
+def bounds(rows: DataFrame, *by: Column, parts: int = PARTS) -> list[list[float]]:
+    """For each of several columns at most `parts` - 1 values that part the rows about evenly; any values would give right places."""
+    at = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    found = rows.agg(*[F.percentile_approx(c.cast("double"), at, F.lit(1000)).alias(f"b{i}") for i, c in enumerate(by)]).first()
+    return [sorted(set(x or [])) for x in found]
+
+
+def part_of(by: Column, limits: list[float]) -> Column:
+    """The part of the order that a value falls in; nulls are in the last."""
+    inner = F.size(F.filter(F.array(*map(F.lit, limits)), lambda b: b < by.cast("double"))) if limits else F.lit(0)
+    return F.when(by.isNull(), len(limits) + 1).otherwise(inner)
+
+
+def placed(rows: DataFrame, keys: list[str], by: Column, limits: list[float], *then: Column | str, name: str = "place", ties: bool = False) -> DataFrame:
+    """Rows with their place (from 1) in the order of `by` (nulls last) and `then` within each key; with `ties` the rank of `by` alone.
+
+    The order is cut at `limits` into parts that are sorted apart; the numbers of rows in the parts before are added, so a key with
+    most of the rows isn't one task's sort. Rows of one value of `by` are sorted together.
+    """
+    rows = rows.withColumn("__by", by).withColumn("__part", part_of(F.col("__by"), limits))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))  # a row for each key and part
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), "__before")
+    number = F.rank() if ties else F.row_number()
+    rows = rows.withColumn("__at", number.over(Window.partitionBy(*keys, "__part").orderBy(F.col("__by").asc_nulls_last(), *([] if ties else then))))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("__part") == F.col("__p"))
+    return rows.join(sizes, same).withColumn(name, F.col("__at") + F.col("__before")).drop("__by", "__part", "__at", "__p", "__before", *[f"__{k}" for k in keys])
+
+
 def leaderboard(rows: DataFrame, name: str, metrics: list[str]) -> DataFrame:
     """Rows with avg_rank and rank: the mean of dense ranks of each metric, largest first and missing last.
 
     Ties: more first places, then the lesser sum of ranks, then the larger sum of metrics over their maxima, then the
-    name. The dense rank of a value is its place among the distinct values of the metric: these are ranked once, after a
-    distinct, and joined back, so that only distinct values are ever sorted together.
+    name. The dense rank of a value is its place among the distinct values of the metric: these are placed part by part after a
+    distinct, and joined back. Metrics are numbers.
     """
-    out = rows
-    for m in metrics:
+    out, limits = rows, bounds(rows, *[-F.col(m) for m in metrics])
+    tops = rows.agg(*[F.max(m).alias(f"x_{m}") for m in metrics])
+    for m, limit in zip(metrics, limits):
         values = rows.select(F.col(m).alias("__v")).distinct()
-        ranked = values.select("__v", F.dense_rank().over(Window.orderBy(F.col("__v").desc_nulls_last())).alias(f"r_{m}"), F.max("__v").over(Window.partitionBy()).alias(f"x_{m}"))
+        ranked = placed(values, [], -F.col("__v"), limit, name=f"r_{m}")
         out = out.join(ranked, out[m].eqNullSafe(F.col("__v"))).drop("__v")
+    out = out.join(F.broadcast(tops))  # one row
     ranks = [F.col(f"r_{m}") for m in metrics]
     add = lambda cs: reduce(lambda a, b: a + b, cs)
     total = add(ranks)
     wins = add([F.when(r == 1, 1).otherwise(0) for r in ranks])
     norm = add([F.when(F.col(f"x_{m}") > 0, F.coalesce(F.col(m) / F.col(f"x_{m}"), F.lit(0.0))).otherwise(F.lit(0.0)) for m in metrics])
-    out = out.select(*rows.columns, (total / len(metrics)).alias("avg_rank"), wins.alias("__w"), total.alias("__t"), norm.alias("__n"))
-    order = Window.orderBy("avg_rank", F.col("__w").desc(), "__t", F.col("__n").desc(), name)
-    return out.withColumn("rank", F.row_number().over(order)).drop("__w", "__t", "__n")
+    out = out.select(*rows.columns, (total / len(metrics)).alias("avg_rank"), wins.alias("__w"), total.alias("__t"), norm.alias("__m"))
+    out = placed(out, [], F.col("avg_rank"), bounds(out, F.col("avg_rank"))[0], F.col("__w").desc(), "__t", F.col("__m").desc(), name, name="rank")
+    return out.drop("__w", "__t", "__m").withColumn("rank", F.col("rank").cast("int"))
 
 
 def average_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows with avg_rank: the mean place of a value among its group, equals (within 1e-12) sharing it."""
     v = F.round(F.abs(F.col(value)), 12)
-    w, peers = Window.partitionBy(*keys).orderBy(v), Window.partitionBy(*keys, v)
-    return rows.withColumn("avg_rank", F.rank().over(w) + (F.count(F.lit(1)).over(peers) - 1) / 2)
+    out = placed(rows, keys, v, bounds(rows, v)[0], name="__rank", ties=True)
+    return out.withColumn("avg_rank", F.col("__rank") + (F.count(F.lit(1)).over(Window.partitionBy(*keys, v)) - 1) / 2).drop("__rank")
 
 
 def top(rows: DataFrame, keys: list[str], k: int, *order: Column | str) -> DataFrame:
@@ -49,8 +84,9 @@ def top_chronological(rows: DataFrame, key: str, k: int, score: str, position: s
 
 
 def shards(rows: DataFrame, stratum: str, order: str, n: int) -> DataFrame:
-    """Rows with shard: dealt in turn within each stratum."""
-    return rows.withColumn("shard", (F.row_number().over(Window.partitionBy(stratum).orderBy(order)) - 1) % n)
+    """Rows with shard: dealt in turn within each stratum in the order of a number."""
+    out = placed(rows, [stratum], F.col(order), bounds(rows, F.col(order))[0], name="__place")
+    return out.withColumn("shard", ((F.col("__place") - 1) % n).cast("int")).drop("__place")
 
 
 def one_each_then_fill(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:

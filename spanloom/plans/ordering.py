@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import picks
@@ -65,13 +65,12 @@ FROM (SELECT o_orderkey, (o_custkey % 4)::INT AS shard FROM orders)
 LEFT JOIN (SELECT shard, sum(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT (o_custkey % 4)::INT AS shard, count(*) AS n FROM orders GROUP BY 1)) USING (shard)""",
 )
 def merged_sequence(t: Tables) -> DataFrame:
-    """Sequence numbers over shards: the place within the shard plus the sizes of the shards before, so no sort holds all rows."""
-    from pyspark.sql import Window
-
+    """Sequence numbers over shards: the place within the shard plus the sizes of the shards before; no sort holds a shard."""
     rows = t.orders.select("o_orderkey", (F.col("o_custkey") % 4).cast("int").alias("shard"))
-    before = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("shard").orderBy("o_orderkey")) - 1
-    return rows.withColumn("place", place).join(before, "shard").select("o_orderkey", "shard", (F.col("place") + F.col("before")).cast("long").alias("seq"))
+    first = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over the four shards
+    before = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(first), F.lit(0)))
+    places = ranking.placed(rows, ["shard"], F.col("o_orderkey"), ranking.bounds(rows, F.col("o_orderkey"))[0])
+    return places.join(before, "shard").select("o_orderkey", "shard", (F.col("place") - 1 + F.col("before")).cast("long").alias("seq"))
 
 
 @query(

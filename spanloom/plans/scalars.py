@@ -94,16 +94,19 @@ s AS (SELECT vec_id, e.label, c.label AS best, round(list_cosine_similarity(e.em
 SELECT vec_id, label, arg_min(best, (-cos, best)) AS best, max(cos) AS cos FROM s GROUP BY 1, 2""",
 )
 def cosine_argmax(t: Tables) -> DataFrame:
-    """Each vector against the centroids of the labels. Labels are a vocabulary; centroids are broadcast only while they are few, else joined."""
+    """Each vector against the centroids of the labels, a vocabulary: all of them are one broadcast row, so a vector stays one row and nothing is sorted.
+
+    The row holds a centroid for each of at most 1,000 labels; more raise an error, as they would not be a vocabulary.
+    """
     e = t.embeddings
     parts = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    c = parts.groupBy(F.col("label").alias("best")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("c"))
+    c = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("c"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cos = dot(F.col("embedding"), F.col("c")) / (F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("c"), F.col("c"))))
-    few = c.limit(1001).count() <= 1000
-    scored = e.crossJoin(F.broadcast(c) if few else c).select("vec_id", "label", "best", F.round(cos, 6).alias("cos"))
-    top = scored.groupBy("vec_id", "label").agg(F.max(F.struct("cos", (-F.col("best")).alias("o"))).alias("x"))
-    return top.select("vec_id", "label", (-F.col("x.o")).alias("best"), F.col("x.cos").alias("cos"))
+    every = F.collect_list(F.struct((-F.col("label")).alias("o"), "c", F.sqrt(dot(F.col("c"), F.col("c"))).alias("n")))
+    one = c.agg(F.when(F.count(F.lit(1)) <= 1000, every).otherwise(F.raise_error(F.lit("too many labels"))).alias("cs"))
+    cos = lambda x: F.round(dot(F.col("embedding"), x["c"]) / (F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * x["n"]), 6)
+    best = F.array_max(F.transform("cs", lambda x: F.struct(cos(x).alias("cos"), x["o"].alias("o"))))
+    return e.join(F.broadcast(one)).select("vec_id", "label", best.alias("x")).select("vec_id", "label", (-F.col("x.o")).alias("best"), F.col("x.cos").alias("cos"))
 
 
 @query("x31_stable_ids", """SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS digest, 'order_' || substr(sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}'), 1, 24) AS ident FROM orders""")

@@ -174,7 +174,7 @@ def monotone_times(t: Tables) -> DataFrame:
 
 @query("q22_conflicting_labels", "SELECT text, count(DISTINCT quality) AS labels FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) > 1 UNION ALL SELECT 'total', count(*) FROM labels")
 def conflicting_labels(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.xxhash64("text").alias("h"), "text").join(t.labels, "doc_id")
+    rows = t.documents.select("doc_id", F.sha2("text", 256).alias("h"), "text").join(t.labels, "doc_id")
     bad = rows.groupBy("h").agg(F.countDistinct("quality").alias("labels"), F.first("text").alias("text")).where("labels > 1").select("text", "labels")
     return bad.unionByName(t.labels.agg(F.count(F.lit(1)).alias("labels")).select(F.lit("total").alias("text"), "labels"))
 
