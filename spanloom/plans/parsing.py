@@ -199,11 +199,11 @@ def box_pairs(t: Tables) -> DataFrame:
     return left.join(right, "user_id").where(inter > 0).select("p", "g", F.round(inter / (boxes.area(F.col("a")) + boxes.area(F.col("b")) - inter), 6).alias("iou"))
 
 
-@query("g19_tight_boxes", "SELECT user_id, min(event_id % 37) AS x1, min(event_id % 23) AS y1, max(event_id % 37) AS x2, max(event_id % 23) AS y2 FROM events WHERE value > 400 GROUP BY 1")
+@query("g19_tight_boxes", "SELECT user_id, min(event_id % 37) AS x1, min(event_id % 23) AS y1, max(event_id % 37) AS x2, max(event_id % 23) AS y2 FROM events WHERE value > 40 GROUP BY 1")
 def tight_boxes(t: Tables) -> DataFrame:
     """The least box around the points of a mask that are set."""
     x, y = F.col("event_id") % 37, F.col("event_id") % 23
-    return t.events.where("value > 400").groupBy("user_id").agg(F.min(x).alias("x1"), F.min(y).alias("y1"), F.max(x).alias("x2"), F.max(y).alias("y2"))
+    return t.events.where("value > 40").groupBy("user_id").agg(F.min(x).alias("x1"), F.min(y).alias("y1"), F.max(x).alias("x2"), F.max(y).alias("y2"))
 
 
 @query(
