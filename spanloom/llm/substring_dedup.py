@@ -132,9 +132,13 @@ def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFra
     least = edges.groupBy("seed", "edge").agg(F.min("least").alias("low"))
     known = edges.select("seed", "path", "k", "edge").join(least, ["seed", "edge"]).groupBy("seed", "path").agg(F.collect_list(F.struct("k", "low")).alias("edges"))
     hits = forks.select("seed", "path", "doc_id", "tag", "starts").join(known, ["seed", "path"])
-    hits = hits.select("doc_id", "tag", "starts", F.filter("edges", lambda e: e["low"] < F.col("doc_id")).alias("edges")).where(F.size("edges") > 0)
-    single = hits.select("doc_id", "tag", F.explode("starts").alias("start"), "edges").select("doc_id", "tag", F.explode(F.transform("edges", lambda e: F.col("start") + e["k"])).alias("begin"))
-    single = single.select("doc_id", "tag", "begin", (F.col("begin") + 1).alias("stop"))
+    # the edges of a path that a smaller doc_id has, as runs of neighbours: one row for each run, not for each edge
+    ks = F.array_distinct(F.transform(F.filter("edges", lambda e: e["low"] < F.col("doc_id")), lambda e: e["k"]))
+    hits = hits.select("doc_id", "tag", "starts", F.array_sort(ks).alias("ks")).where(F.size("ks") > 0)
+    ends = lambda step: F.filter("ks", lambda k: ~F.array_contains("ks", k + F.lit(step)))
+    runs_ = F.zip_with(ends(-1), ends(1), lambda lo, hi: F.named_struct(F.lit("lo"), lo, F.lit("hi"), hi))
+    single = hits.select("doc_id", "tag", F.explode("starts").alias("start"), runs_.alias("runs")).select("doc_id", "tag", "start", F.explode("runs").alias("run"))
+    single = single.select("doc_id", "tag", (F.col("start") + F.col("run")["lo"]).alias("begin"), (F.col("start") + F.col("run")["hi"] + 1).alias("stop"))
     return whole.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
 
 
