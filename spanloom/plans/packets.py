@@ -90,14 +90,14 @@ def cause_by_precedence(t: Tables) -> DataFrame:
 
 @query(
     "g24_decimal_time_base",
-    """WITH s AS (SELECT user_id, count(*) AS n, (epoch_ms(max(ts)) - epoch_ms(min(ts))) AS ms FROM events GROUP BY 1)
-SELECT user_id, n, (ms / 1000.0)::DOUBLE AS seconds, (ms - (n - 1) * 38400000) / 1000.0 AS tail, ms >= (n - 1) * 38400000 AND ms - (n - 1) * 38400000 <= 38400000 AS regular FROM s""",
+    """WITH s AS (SELECT user_id, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) AS us FROM events GROUP BY 1)
+SELECT user_id, n, us / 1e6 AS seconds, (us - (n - 1) * 38400000000) / 1e6 AS tail, us BETWEEN (n - 1) * 38400000000 AND n * 38400000000 AS regular FROM s""",
 )
 def decimal_time_base(t: Tables) -> DataFrame:
     """Length of a key's record against its frames at a fixed rate, in decimals: the tail may be one frame long at most."""
     rows = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"))
-    ms = F.unix_millis(F.col("high").cast("timestamp")) - F.unix_millis(F.col("low").cast("timestamp"))
-    seconds = (ms.cast("decimal(18,0)") / F.lit(1000).cast("decimal(4,0)")).cast("decimal(21,3)")
+    us = F.unix_micros(F.col("high").cast("timestamp")) - F.unix_micros(F.col("low").cast("timestamp"))
+    seconds = (us.cast("decimal(18,0)") / F.lit(1000000).cast("decimal(7,0)")).cast("decimal(24,6)")
     tail = seconds - (F.col("n") - 1).cast("decimal(12,0)") * F.lit(38400).cast("decimal(5,0)")
     return rows.select("user_id", "n", seconds.cast("double").alias("seconds"), tail.cast("double").alias("tail"), ((tail >= 0) & (tail <= 38400)).alias("regular"))
 
