@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, exact_dedup, licenses, minhash, packing, pieces, prefix_trie, quality_model, quality_rules, substring_dedup, toxicity, warc
+from . import collocations, exact_dedup, licenses, minhash, packing, personal, pieces, prefix_trie, quality_model, quality_rules, substring_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_model": quality_model.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": licenses.query,
     "op11_collocations": collocations.query,
     "op12_prefix_trie": prefix_trie.query,
+    "op13_personal_data": personal.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op6_quality_rules": quality_rules.SQL, "op11_collocations": collocations.SQL, "op12_prefix_trie": prefix_trie.SQL}
