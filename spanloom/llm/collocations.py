@@ -19,7 +19,7 @@ LONGEST, LEAST = 4, 30
 #: The sketch has 2**BITS cells, in blocks of 2**BLOCK; what is broadcast is one bit for each cell, 16 MB.
 BITS, BLOCK = 27, 17
 #: Bytes of text that one automaton is made for, and phrases that are gathered before their cells are counted.
-SHARD, GATHERED = 1 << 23, 1 << 22
+SHARD, GATHERED = 1 << 22, 1 << 22
 #: Phrases of each language in the result.
 TOP = 2000
 #: Marks that end a piece; blanks between words.
@@ -64,8 +64,8 @@ def _language(lang: str) -> np.uint64:
     return mix(word_hashes(d := np.frombuffer(f"{lang} ".encode(), np.uint8), np.array([0]), np.array([len(d)])))[0]
 
 
-def phrases(data: bytes, skip: int, lang: str) -> tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """The number of words of a shard, and by length the begins, ends and hashes of the phrases that end in it."""
+def phrases(data: bytes, skip: int, lang: str) -> tuple[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """The number of words of a shard, and by length the first words, begins, ends and hashes of the phrases that end in it."""
     raw = np.frombuffer(data, np.uint8)
     begins, ends = spans(raw)
     with np.errstate(over="ignore"):
@@ -80,7 +80,7 @@ def phrases(data: bytes, skip: int, lang: str) -> tuple[int, list[tuple[np.ndarr
             with np.errstate(over="ignore"):
                 h = mix(h[: len(whole)] * np.uint64(_ODD[0]) + words[n - 1 :] * np.uint64(_ODD[n - 1]))
         keep = np.flatnonzero(whole & new[n - 1 :]) if len(whole) else np.zeros(0, np.int64)
-        out.append((begins[keep], ends[keep + n - 1], h[keep]))
+        out.append((keep, begins[keep], ends[keep + n - 1], h[keep]))
     return int(new.sum()), out
 
 
@@ -140,7 +140,7 @@ def sketch(texts: DataFrame, least: int, bits: int, size: int) -> list[tuple[int
         held, n = [], 0
         for batch in _gathered(batches, size):
             for lang, shard, skip in _by_language(batch, size):
-                for _, _, h in phrases(shard, skip, lang)[1]:
+                for *_, h in phrases(shard, skip, lang)[1]:
                     held.append((h >> np.uint64(64 - bits)).astype(np.uint32))
                     n += len(h)
                 if n >= GATHERED:
@@ -195,9 +195,14 @@ def counts(docs: DataFrame, least: int = LEAST, bits: int = BITS, size: int = SH
                 text = shard.decode("latin-1")
                 names: list[str] = []
                 lengths: list[int] = []
-                for k, (begins, ends, h) in enumerate(found, 1):
+                shorter = None
+                for k, (at, begins, ends, h) in enumerate(found, 1):
                     cell = h >> np.uint64(64 - bits)
                     keep = (frequent[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1
+                    if shorter is not None:  # a phrase isn't frequent if its first or last words aren't; those before the shard are as frequent as they may be
+                        keep &= shorter[at] & shorter[at + 1]
+                    shorter = np.ones(int(found[0][0][-1]) + 2 if len(found[0][0]) else 1, bool)
+                    shorter[at] = keep
                     # equal phrases are looked up once where they have one hash; those of one hash that differ are both looked up
                     own = list({text[b - 1 : e + 1] for b, e in zip(begins[keep].tolist(), ends[keep].tolist())})
                     names += own
