@@ -284,10 +284,10 @@ def fit(found: DataFrame, examples: int = EXAMPLES) -> np.ndarray:
         x[i, r.slots] = 1
     x[:, SLOTS] = 1
     used = np.flatnonzero(x.any(0))
-    x, v = x[:, used], np.zeros(len(used))
+    x, y, v = x[:, used], y.astype(np.float32), np.zeros(len(used), np.float32)
     for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        v -= 0.5 * (x.T @ (p - y) / len(y) + 1e-4 * v)
+        v -= np.float32(0.5) * ((p - y) @ x / np.float32(len(y)) + np.float32(1e-4) * v)
     w[used] = v
     return w
 
