@@ -19,7 +19,7 @@ LONGEST, LEAST = 4, 30
 #: The sketch has 2**BITS cells, in blocks of 2**BLOCK; what is broadcast is one bit for each cell, 16 MB.
 BITS, BLOCK = 27, 17
 #: Bytes of text that one automaton is made for, and phrases that are gathered before their cells are counted.
-SHARD, GATHERED = 1 << 22, 1 << 22
+SHARD, GATHERED = 1 << 21, 1 << 21
 #: Phrases of each language in the result.
 TOP = 2000
 #: Marks that end a piece; blanks between words.

@@ -32,7 +32,7 @@ NEAR = 48
 _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
-_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PLUS = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
@@ -57,6 +57,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", free)
     for m in _DOTTED.finditer(text):
         parts, start = m[0].split("."), m.start()
+        if len(parts) < 4:
+            continue
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1 + start
         for i in range(0, len(parts) - 3, 4):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts[i : i + 4]):
@@ -142,7 +144,7 @@ def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
                     break
                 digits += run[groups[b][0] : groups[b][1]]
                 lo, hi = at + groups[a][0], at + groups[b][1]
-                if 13 <= n <= 19 and (b > a or len(groups) == 1) and luhn(digits) and issuer(digits):
+                if 13 <= n <= 19 and (b > a or len(groups) == 1) and issuer(digits) and luhn(digits):
                     out.append((CARD, lo, hi))
                 if a == 0 and b == len(groups) - 1 and 8 <= n <= 15 and (len(groups) > 1 or digits[:2] == "00"):
                     out.append((PHONE, at, hi))

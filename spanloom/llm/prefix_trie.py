@@ -222,7 +222,7 @@ def trie(conversations: DataFrame, bits: int = 64) -> DataFrame:
     Sums over subtrees are sums over paths: a node's weight belongs to its smallest conversation, and each node adds the weights of the
     conversations that pass it, those of its own smallest one from its depth on. So no level waits for the level below.
 
-    Rows with a null conv_id are of no conversation and left out; a null turn comes first, equal turns are ordered by their content, null roles and texts are
+    Rows with a null conv_id are of no conversation and left out; a null turn comes first, equal turns are ordered by the SHA-256 of their content, null roles and texts are
     empty, repeated rows are turns each. Blocks are of 100 from a multiple of 100 on, for negative numbers too. Other columns are not read. An
     empty table has no node, not even the root. `bits` of fingerprints are kept: few make many collisions, and the same result.
     """
@@ -274,7 +274,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(common.table(spark, sf_dir, "conversations"))
 
 
-SQL = """WITH own AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY turn NULLS FIRST, r, t) AS turns FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL) GROUP BY 1),
+SQL = """WITH own AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || t)) AS turns FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL) GROUP BY 1),
 bits AS (SELECT conv_id, turns, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS b FROM own),
 heads AS (SELECT conv_id, turns, xor(list_reduce([4294967295::BIGINT] || b, lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384)), 4294967295) % 6 AS h FROM bits),
 made AS (SELECT c.conv_id, coalesce(o.turns[1:c.h], []) || c.turns[c.h + 1:] AS turns FROM heads c LEFT JOIN own o ON o.conv_id = c.conv_id - c.conv_id % 100),
