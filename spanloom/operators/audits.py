@@ -57,3 +57,22 @@ def funnel(base: DataFrame, key: str, stages: dict[str, DataFrame]) -> DataFrame
         alive = alive & F.coalesce(F.col(f"__{name}"), F.lit(False))
         counts.append(F.count_if(alive).alias(name))
     return out.agg(*counts)
+
+
+#: States of an attempt chain: fixed values.
+CONFLICT, GAP, AFTER_END, OVER_LIMIT, COMPLETE, OPEN = "CONFLICTING_IMMUTABLE_ATTEMPTS", "INCOMPLETE_RAW_ATTEMPT_CHAIN", "ATTEMPT_AFTER_TERMINAL_RAW_RESULT", "RAW_ATTEMPTS_EXCEED_FROZEN_RETRY_LIMIT", "COMPLETE", "OPEN"
+
+
+def attempt_chains(rows: DataFrame, key: str, index: str, status: str, retryable: str, limit: int) -> DataFrame:
+    """key, n, state: the attempts of each key as a chain from 0 on that ends with the first success or error that isn't retried, or at `limit`.
+
+    Faults in this order: two records of one index that differ, a missing index, attempts after the end, more than `limit`. Repeated equal records
+    count once. Two aggregates, the first met before its exchange.
+    """
+    ended = (F.col(status) == "OK") | ~F.coalesce(F.col(retryable), F.lit(False))
+    record = F.struct(status, retryable)
+    each = rows.groupBy(key, index).agg((~F.min(record).eqNullSafe(F.max(record))).alias("differs"), F.coalesce(F.bool_or(ended), F.lit(False)).alias("ended"))
+    out = each.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(index).alias("top"), F.min(index).alias("low"), F.bool_or("differs").alias("differs"), F.min(F.when(F.col("ended"), F.col(index))).alias("end"))
+    end = F.coalesce(F.col("end"), F.col("top") + 1)
+    state = F.when(F.col("differs"), CONFLICT).when((F.col("n") != F.col("top") + 1) | (F.col("low") < 0), GAP).when(end < F.col("top"), AFTER_END).when(F.col("n") > limit, OVER_LIMIT).when((end == F.col("top")) | (F.col("n") == limit), COMPLETE).otherwise(OPEN)
+    return out.select(key, "n", state.alias("state"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.ranking import bounds, part_of
 from spanloom.functions.intervals import touches
 
 
@@ -111,22 +112,31 @@ def bucketed_overlaps(a: DataFrame, b: DataFrame, key: str, width: float) -> Dat
     return l.join(r, hit & (l["__b"] == bucket(F.greatest(F.col("start"), F.col("s_start"))))).drop("__b")
 
 
-def nearest(targets: DataFrame, points: DataFrame, key: str, target: str, at: str, index: str) -> DataFrame:
-    """For each target time the nearest point of its key, the least index among equals.
+def nearest(targets: DataFrame, points: DataFrame, key: str, target: str, at: str, index: str, limits: list[float] | None = None) -> DataFrame:
+    """For each target time the nearest point of its key, the least index among equals; null where a key has no point.
 
-    Both sides go into one sorted pass: the last point up to a target and the first from it on are carried to it, so a key's
-    targets and points are never paired one with another.
+    Time is cut at `limits` (approximate quantiles of the points, 63 at most) into parts. In each key and part one sorted pass carries the last point
+    up to a target and the first from it on; what lies in other parts comes from the key's parts, an array of 64 entries at most. So a key's targets and
+    points are never paired one with another, and a key with most of the rows is dealt to all parts.
     """
-    t = targets.select(F.col(key), F.col(target).alias("__t"), F.lit(1).alias("__is"), F.lit(None).cast(points.schema[index].dataType).alias("__i"))
-    p = points.groupBy(key, F.col(at).alias("__t")).agg(F.min(index).alias("__i")).select(key, "__t", F.lit(0).alias("__is"), "__i")
-    both = t.unionByName(p)
+    limits = bounds(points, F.col(at))[0] if limits is None else limits
+    kind = points.schema[index].dataType
+    t = targets.select(F.col(key), F.col(target).alias("__t"), F.lit(1).alias("__is"), F.lit(None).cast(kind).alias("__i"))
+    p = points.where(F.col(at).isNotNull()).groupBy(key, F.col(at).alias("__t")).agg(F.min(index).alias("__i")).select(key, "__t", F.lit(0).alias("__is"), "__i")
+    part = part_of(F.col("__t"), limits)
+    ends = p.groupBy(key, part.alias("part")).agg(*[f(F.struct(F.col("__t").alias("t"), F.col("__i").alias("i"))).alias(n) for f, n in ((F.min, "first"), (F.max, "last"))])
+    ends = ends.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("part", "first", "last"))).alias("__parts"))
+    both = t.unionByName(p).withColumn("__part", part)
     point = F.when(F.col("__is") == 0, F.struct(F.col("__t").alias("t"), F.col("__i").alias("i")))
-    w = Window.partitionBy(key).orderBy("__t", "__is")
-    back = Window.partitionBy(key).orderBy(F.col("__t").desc(), "__is")
+    w = Window.partitionBy(key, "__part").orderBy("__t", "__is")
+    back = Window.partitionBy(key, "__part").orderBy(F.col("__t").desc(), "__is")
     out = both.withColumn("__before", F.last(point, ignorenulls=True).over(w)).withColumn("__after", F.last(point, ignorenulls=True).over(back)).where("__is = 1")
-    rank = lambda c: F.when(c.isNotNull(), F.struct(F.abs(c["t"] - F.col("__t")).alias("gap"), c["i"].alias("i")))
-    best = F.least(rank(F.col("__before")), rank(F.col("__after")))
-    return out.select(key, F.col("__t").alias(target), best["i"].alias(index), best["gap"].alias("gap"))
+    out = out.join(ends, F.col(key).eqNullSafe(F.col("__key")), "left")
+    earlier = F.try_element_at(F.filter("__parts", lambda x: x["part"] < F.col("__part")), F.lit(-1))["last"]
+    later = F.get(F.filter("__parts", lambda x: x["part"] > F.col("__part")), F.lit(0))["first"]
+    rank = lambda c: F.when(c.isNotNull() & F.col("__t").isNotNull(), F.struct(F.abs(c["t"] - F.col("__t")).alias("gap"), c["i"].alias("i"), c["t"].alias("t")))
+    best = F.least(rank(F.coalesce("__before", earlier)), rank(F.coalesce("__after", later)))
+    return out.select(key, F.col("__t").alias(target), best["i"].alias(index), best["gap"].alias("gap"), best["t"].alias(at))
 
 
 def compared(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

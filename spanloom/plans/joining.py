@@ -134,7 +134,7 @@ SELECT user_id, target, arg_min(event_id, (abs(t - target), event_id)) AS event_
 def nearest_asof(t: Tables) -> DataFrame:
     e = t.events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us")).select("user_id", "event_id", (F.col("us") / 1e6).alias("t"))
     targets = e.select("user_id", (F.floor(F.col("t") / 21600) * 21600).cast("double").alias("target")).distinct()
-    return joins.nearest(targets, e, "user_id", "target", "t", "event_id")
+    return joins.nearest(targets, e, "user_id", "target", "t", "event_id").drop("t")
 
 
 @query(

@@ -264,7 +264,7 @@ def anchor_schedule(t: Tables) -> DataFrame:
     return rows.groupBy("user_id").agg(middle.alias("middle"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
-@query("u07_spans_once", "SELECT l_orderkey, list(s ORDER BY p, s) AS spans FROM (SELECT l_orderkey, (l_linenumber, l_quantity::INT % 5) AS s, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+@query("u07_spans_once", "SELECT l_orderkey, list(s ORDER BY p, s) AS spans FROM (SELECT l_orderkey, {'a': l_linenumber, 'b': l_quantity::INT % 5} AS s, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def spans_once(t: Tables) -> DataFrame:
     """Spans of a list once each, in the order of their first occurrence."""
     once = t.lineitem.groupBy("l_orderkey", F.col("l_linenumber").alias("a"), (F.col("l_quantity").cast("int") % 5).alias("b")).agg(F.min("l_partkey").alias("p"))

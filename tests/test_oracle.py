@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 
 from spanloom.plans.catalog import ORACLE_SQL, QUERIES
 
@@ -24,6 +25,10 @@ def plain(v):
         return bool(v)
     if isinstance(v, (int, np.integer)):
         return f"{float(v):.8g}"
+    if isinstance(v, Row):
+        v = v.asDict()
+    if isinstance(v, dict):  # the names of fields count, as they do for the driver
+        return tuple((k if isinstance(k, str) else plain(k), plain(x)) for k, x in v.items())
     if isinstance(v, (list, tuple, np.ndarray)):
         return tuple(plain(x) for x in v)
     return str(v)
