@@ -76,3 +76,61 @@ def attempt_chains(rows: DataFrame, key: str, index: str, status: str, retryable
     end = F.coalesce(F.col("end"), F.col("top") + 1)
     state = F.when(F.col("differs"), CONFLICT).when((F.col("n") != F.col("top") + 1) | (F.col("low") < 0), GAP).when(end < F.col("top"), AFTER_END).when(F.col("n") > limit, OVER_LIMIT).when((end == F.col("top")) | (F.col("n") == limit), COMPLETE).otherwise(OPEN)
     return out.select(key, "n", state.alias("state"))
+
+
+def reconciled(sources: dict[str, DataFrame], key: list[str], values: list[str]) -> DataFrame:
+    """key, n_<source>, errors: each key of any source once, with what is wrong with it, in this order.
+
+    MISSING_<source>, DUPLICATE_<source>, and <value>_MISMATCH where sources that have the key differ in a value (nulls count as a value).
+    Sources are one union with a column for each one's number of rows, aggregated once: no chain of outer joins. Keys may be null.
+    """
+    sides = [df.select(*key, *values, *[F.lit(int(n == name)).alias(f"__{n}") for n in sources]) for name, df in sources.items()]
+    counts = [F.sum(f"__{n}").alias(f"n_{n}") for n in sources]
+    differs = [(~F.min(F.struct(v)).eqNullSafe(F.max(F.struct(v)))).alias(f"__d_{v}") for v in values]
+    out = reduce(DataFrame.unionByName, sides).groupBy(*key).agg(*counts, *differs)
+    codes = [F.when(F.col(f"n_{n}") == 0, f"MISSING_{n.upper()}") for n in sources] + [F.when(F.col(f"n_{n}") > 1, f"DUPLICATE_{n.upper()}") for n in sources] + [F.when(F.col(f"__d_{v}"), f"{v.upper()}_MISMATCH") for v in values]
+    return out.select(*key, *[f"n_{n}" for n in sources], F.array_compact(F.array(*codes)).alias("errors"))
+
+
+def prediction_audit(manifest: DataFrame, predictions: DataFrame, errors: DataFrame, key: str, valid: str, answer: str) -> DataFrame:
+    """One row of counts: what of a manifest (key, valid) has a final prediction (key, answer), and what became of errors (key).
+
+    As a manifest with a repeated key has no index, its keys then count neither as valid nor as invalid.
+    """
+    sides = [
+        manifest.select(key, F.lit(0).alias("side"), F.coalesce(valid, F.lit(False)).alias("valid"), F.lit(None).cast("string").alias("answer")),
+        predictions.select(key, F.lit(1).alias("side"), F.lit(False).alias("valid"), F.col(answer).cast("string").alias("answer")),
+        errors.select(key, F.lit(2).alias("side"), F.lit(False).alias("valid"), F.lit(None).cast("string").alias("answer")),
+    ]
+    bad = (F.col("side") == 1) & ~F.coalesce(F.col("answer").isin("YES", "NO"), F.lit(False))
+    each = reduce(DataFrame.unionByName, sides).groupBy(key).agg(*[F.count_if(F.col("side") == i).alias(n) for i, n in enumerate("mpe")], F.bool_or("valid").alias("valid"), F.count_if(bad).alias("bad"))
+    m, p, e, ok = (F.col(c) for c in ("m", "p", "e", "valid"))
+    c = lambda x: F.count_if(x)
+    out = each.agg(
+        F.sum("m").alias("n_total"), c(m > 1).alias("duplicate_manifest"), c((m > 0) & ok).alias("v"), c((m > 0) & ~ok).alias("i"), F.sum("p").alias("n_final_predictions"), c((m > 0) & ok & (p == 0)).alias("miss"), c((p > 0) & ~((m > 0) & ok)).alias("x"), c(p > 0).alias("ids"),
+        c((p > 0) & (m > 0) & ~ok).alias("inv"), c(p > 1).alias("duplicate_predictions"), F.sum("bad").alias("invalid_predictions"), F.sum("e").alias("n_errors"), c((e > 0) & (p > 0)).alias("errors_resolved"), c((e > 0) & (m > 0) & ok & (p == 0)).alias("unres"),
+    )
+    whole = lambda name, none=F.lit(0): F.when(F.col("duplicate_manifest") == 0, F.col(name)).otherwise(none)
+    return out.select("n_total", whole("v").alias("n_valid"), whole("i").alias("n_invalid"), "n_final_predictions", whole("miss").alias("missing"), whole("x", F.col("ids")).alias("extra"), whole("inv").alias("for_invalid"), "duplicate_predictions", "duplicate_manifest", "invalid_predictions", "n_errors", "errors_resolved", whole("unres").alias("unresolved"))
+
+
+def bound_timestamps(manifest: DataFrame, frames: DataFrame, clip: str) -> DataFrame:
+    """clip, errors: whether the rows of a manifest (clip, frame_order, reference, seconds) are the frames (clip, frame_order, reference), one by one, in rising time.
+
+    FRAME_COUNT_MISMATCH, BINDING_MISMATCH, TIMESTAMP_NONFINITE, TIMESTAMP_NEGATIVE, TIMESTAMP_NONMONOTONIC, DURATION_NOT_POSITIVE. Each manifest row is also sent to
+    the next place, so neighbours meet in one aggregate and no window runs over a clip.
+    """
+    none = F.lit(None)
+    time = F.col("seconds").cast("double")
+    own = manifest.select(clip, "frame_order", F.lit(1).alias("m"), F.lit(0).alias("f"), F.col("reference").cast("string").alias("mr"), none.cast("string").alias("fr"), time.alias("t"), none.cast("double").alias("before"))
+    after = manifest.select(clip, F.col("frame_order") + 1, F.lit(0), F.lit(0), none.cast("string"), none.cast("string"), none.cast("double"), time)
+    frame = frames.select(clip, "frame_order", F.lit(0), F.lit(1), none.cast("string"), F.col("reference").cast("string"), none.cast("double"), none.cast("double"))
+    place = own.union(after).union(frame).groupBy(clip, "frame_order").agg(F.sum("m").alias("m"), F.sum("f").alias("f"), F.max("mr").alias("mr"), F.max("fr").alias("fr"), F.min("t").alias("t"), F.max("before").alias("before"))
+    here = (F.col("m") > 0) | (F.col("f") > 0)
+    infinite = F.col("t").isNull() | F.isnan("t") | (F.abs("t") == float("inf"))
+    out = place.groupBy(clip).agg(
+        F.sum("m").alias("m"), F.sum("f").alias("f"), F.bool_or(here & ~((F.col("m") == 1) & (F.col("f") == 1) & F.col("mr").eqNullSafe(F.col("fr")))).alias("unbound"), F.bool_or((F.col("m") > 0) & infinite).alias("infinite"),
+        F.bool_or(F.coalesce((F.col("m") > 0) & (F.col("t") < 0), F.lit(False))).alias("negative"), F.bool_or(F.coalesce((F.col("m") > 0) & (F.col("t") < F.col("before")), F.lit(False))).alias("falls"), F.min("t").alias("low"), F.max("t").alias("high"),
+    )
+    codes = [(F.col("m") != F.col("f"), "FRAME_COUNT_MISMATCH"), (F.col("unbound"), "BINDING_MISMATCH"), (F.col("infinite"), "TIMESTAMP_NONFINITE"), (F.col("negative"), "TIMESTAMP_NEGATIVE"), (F.col("falls"), "TIMESTAMP_NONMONOTONIC"), (~F.coalesce((F.col("m") >= 2) & (F.col("high") > F.col("low")), F.lit(False)), "DURATION_NOT_POSITIVE")]
+    return out.select(clip, F.array_compact(F.array(*[F.when(c, n) for c, n in codes])).alias("errors"))
