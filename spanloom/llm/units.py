@@ -1,49 +1,27 @@
-"""Tokenizing by units: parts of a text that no token and no pattern crosses, each encoded once and then looked up.
-
-The tables are the tasks' own, bounded, and emptied when full: results never depend on what they hold.
-"""
+"""Tokenizing by a byte-level BPE file: whole texts at once, long ones in parts that no token and no pattern crosses."""
 
 from __future__ import annotations
 
 import json
 import re
 from array import array
-from collections.abc import Callable
 from functools import lru_cache
 
 import public_tokenizers
 import tiktoken
 
-#: Units that a table holds at most; longer ones aren't held.
-LIMIT, LONG = 80_000, 200
+#: Characters of a text that are encoded at once, about.
+PART = 1 << 17
 
 #: White space, and what some library takes for it; zero-width and control characters to be safe.
 _SPACE = r"\x00-\x20\x7f\x85\xa0 ᠎ -‏ -  -⁤　﻿"
-#: A space or line feed beside another white space.
-_UNSAFE = re.compile(rf"[{_SPACE}][ \n]|[ \n][{_SPACE}]")
 _CUT = re.compile(rf"(?<=[^{_SPACE}])(?= )")
 
 
-class _Table(dict):
-    """Unit to the bytes of its ids (little-endian unsigned 32 bits) when `prefix` stands before it."""
-
-    def __init__(self, prefix: str, encode: Callable[[str], bytes], limit: int) -> None:
-        super().__init__()
-        self.prefix, self.encode, self.limit = prefix, encode, limit
-
-    def __missing__(self, unit: str) -> bytes:
-        out = self.encode(self.prefix + unit)
-        if len(unit) <= LONG:
-            if len(self) >= self.limit:
-                self.clear()
-            self[unit] = out
-        return out
-
-
 class ByteUnits:
     """Ids of texts by a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, limit: int = LIMIT) -> None:
+    def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         # the printable stand-ins of bytes, in the order of the byte-level alphabet
@@ -59,7 +37,6 @@ class ByteUnits:
         self.engine = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = max([*model["model"]["vocab"].values(), *special.values()]) + 1
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.inner, self.heads = _Table(" ", self.encode, limit), _Table("", self.encode, limit)
 
     def encode(self, text: str) -> bytes:
         return array("I", self.engine.encode_ordinary(text)).tobytes()
@@ -77,21 +54,14 @@ class ByteUnits:
     def ids(self, text: str) -> bytes:
         """The ids of a whole text as ordinary text, added tokens included.
 
-        No token and no part of the pattern holds a space or line feed after a character that isn't white space, so texts
-        part there; a single line feed is a part of its own.
+        No token and no part of the pattern holds a space after a character that isn't white space, so long texts are parted
+        there, and what is encoded at once stays small.
         """
-        if not text:
-            return b""
-        if _UNSAFE.search(text):
-            head, *rest = _CUT.split(text)
-            return self.encode(head) + b"".join([self.inner[x[1:]] for x in rest])
-        out: list[bytes] = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            out.append(self.heads[head])
-            out.extend(map(self.inner.__getitem__, rest))
-            out.append(self.heads["\n"])
-        return b"".join(out[:-1])
+        out, at = [], 0
+        while len(text) - at > PART and (cut := _CUT.search(text, at + PART)):
+            out.append(self.encode(text[at : cut.start()]))
+            at = cut.start()
+        return b"".join([*out, self.encode(text[at:])])
 
 
 @lru_cache(maxsize=2)
