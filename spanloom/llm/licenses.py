@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -116,14 +117,24 @@ def match(hits: list[tuple[int, str]], gap: int = GAP) -> list[tuple[str, str, i
         for start in where.get(first, ()):
             at = start
             for ident in rest:
-                at = next((p for p in where.get(ident, ()) if at < p <= at + gap), -1)
-                if at < 0:
+                spots = where.get(ident, ())
+                k = bisect_right(spots, at)
+                if k == len(spots) or spots[k] > at + gap:
                     break
+                at = spots[k]
             else:
                 found.append((licence, rule, start, at))
-    size = {x: len(steps(x[1])) for x in found}
-    inner = {x for x in found for y in found if size[y] > size[x] and y[2] <= x[2] and x[3] <= y[3]} if len(found) > 1 else set()
-    return sorted((x for x in found if x not in inner), key=lambda x: (x[2], x[3], x[1]))
+    # by number of sentences: where its matches begin, ascending, and the furthest end up to each
+    sized: dict[int, list[tuple[int, int]]] = {}
+    for _, rule, start, end in found:
+        sized.setdefault(len(steps(rule)), []).append((start, end))
+    reach = {n: ([s for s, _ in sorted(v)], list(accumulate((e for _, e in sorted(v)), max))) for n, v in sized.items()}
+
+    def inner(rule: str, start: int, end: int) -> bool:
+        own = len(steps(rule))
+        return any(n > own and (k := bisect_right(starts, start)) and ends[k - 1] >= end for n, (starts, ends) in reach.items())
+
+    return sorted((x for x in found if not inner(*x[1:])), key=lambda x: (x[2], x[3], x[1]))
 
 
 MATCH = pa.struct([("licence", pa.string()), ("rule", pa.string()), ("first", pa.int32()), ("last", pa.int32())])

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -321,3 +322,37 @@ def test_licences_wrapped(spark):
     df = spark.createDataFrame([(d, t.replace("\n", "\r\n") if d == 4 else t) for d, (t, _, _) in texts.items()], "doc_id long, text string")
     got = {r.doc_id: ([m.rule for m in r.matches], r.licences) for r in licenses.scan(df).collect()}
     assert got == {d: (rules, names) for d, (_, rules, names) in texts.items()}
+
+
+def plain_match(hits, gap):
+    """What `licenses.match` finds, by trying all positions and all pairs."""
+    found = set()
+    for rule, (licence, _) in licenses.RULES.items():
+        for start, ident in hits:
+            at, names = start, licenses.steps(rule)
+            if ident != names[0]:
+                continue
+            for name in names[1:]:
+                at = min((p for p, i in hits if i == name and at < p <= at + gap), default=None)
+                if at is None:
+                    break
+            if at is not None:
+                found.add((licence, rule, start, at))
+    size = lambda x: len(licenses.steps(x[1]))
+    return sorted((x for x in found if not any(size(y) > size(x) and y[2] <= x[2] and x[3] <= y[3] for y in found)), key=lambda x: (x[2], x[3], x[1]))
+
+
+def test_licence_rules_are_matched_as_by_brute_force_and_fast():
+    r = random.Random(1)
+    names = [name for _, name in licenses.known()]
+    for _ in range(300):
+        run = r.choices(names, k=r.randint(0, 25)) if r.random() < 0.5 else [s for rule in r.choices(list(licenses.RULES), k=4) for s in licenses.steps(rule)]
+        pos, hits = 0, []
+        for name in run:
+            pos += r.choice([1, 1, 2, 5])
+            hits.append((pos, name))
+        assert licenses.match(hits, 4) == plain_match(hits, 4)
+    hits = [(k, licenses.steps("bsd3-text")[k % 4]) for k in range(10_000)]
+    began = time.time()
+    assert len(licenses.match(hits)) == 2500
+    assert time.time() - began < 1
