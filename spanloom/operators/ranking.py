@@ -25,13 +25,14 @@ def part_of(by: Column, limits: list[float]) -> Column:
     return F.when(by.isNull(), len(limits) + 1).otherwise(inner)
 
 
-def placed(rows: DataFrame, keys: list[str], by: Column, limits: list[float], *then: Column | str, name: str = "place", ties: bool = False) -> DataFrame:
+def placed(rows: DataFrame, keys: list[str], by: Column, limits: list[float] | Column, *then: Column | str, name: str = "place", ties: bool = False) -> DataFrame:
     """Rows with their place (from 1) in the order of `by` (nulls last) and `then` within each key; with `ties` the rank of `by` alone.
 
     The order is cut at `limits` into parts that are sorted apart; the numbers of rows in the parts before are added, so a key with
-    most of the rows isn't one task's sort. Rows of one value of `by` are sorted together.
+    most of the rows isn't one task's sort. Rows of one value of `by` are sorted together. `limits` may also be the part itself, ascending
+    with `by` within each key.
     """
-    rows = rows.withColumn("__by", by).withColumn("__part", part_of(F.col("__by"), limits))
+    rows = rows.withColumn("__by", by).withColumn("__part", limits if isinstance(limits, Column) else part_of(F.col("__by"), limits))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))  # a row for each key and part
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), "__before")
@@ -45,24 +46,27 @@ def leaderboard(rows: DataFrame, name: str, metrics: list[str]) -> DataFrame:
     """Rows with avg_rank and rank: the mean of dense ranks of each metric, largest first and missing last.
 
     Ties: more first places, then the lesser sum of ranks, then the larger sum of metrics over their maxima, then the
-    name. The dense rank of a value is its place among the distinct values of the metric: these are placed part by part after a
-    distinct, and joined back. Metrics are numbers.
+    name. The dense rank of a value is its place among the distinct values of its metric. All metrics are taken as rows (metric, value), so they are
+    placed, part by part, and joined back once, however many there are. `rows` are read several times and kept by Spark meanwhile. Metrics are numbers.
     """
-    out, limits = rows, bounds(rows, *[-F.col(m) for m in metrics])
+    rows = rows.persist()
+    limits = bounds(rows, *[-F.col(m) for m in metrics])
     tops = rows.agg(*[F.max(m).alias(f"x_{m}") for m in metrics])
-    for m, limit in zip(metrics, limits):
-        values = rows.select(F.col(m).alias("__v")).distinct()
-        ranked = placed(values, [], -F.col("__v"), limit, name=f"r_{m}")
-        out = out.join(ranked, out[m].eqNullSafe(F.col("__v"))).drop("__v")
-    out = out.join(F.broadcast(tops))  # one row
-    ranks = [F.col(f"r_{m}") for m in metrics]
     add = lambda cs: reduce(lambda a, b: a + b, cs)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("__k"), F.col(m).cast("double").alias("__v")) for i, m in enumerate(metrics)])).alias("x")
+    long = rows.select(*rows.columns, each).select(*rows.columns, "x.*")
+    part = reduce(lambda out, i: F.when(F.col("__k") == i, part_of(F.col("__by"), limits[i])).otherwise(out), range(len(metrics)), F.lit(0))
+    ranked = placed(long.select("__k", "__v").distinct(), ["__k"], -F.col("__v"), part, name="__r").select(F.col("__k").alias("__rk"), F.col("__v").alias("__rv"), "__r")
+    ranks = long.join(ranked, (F.col("__k") == F.col("__rk")) & F.col("__v").eqNullSafe(F.col("__rv")))
+    out = ranks.groupBy(*rows.columns).agg(F.count_if(F.col("__k") == 0).alias("__copies"), *[F.max(F.when(F.col("__k") == i, F.col("__r"))).alias(f"__r{i}") for i in range(len(metrics))])
+    out = out.join(F.broadcast(tops))  # one row
+    ranks = [F.col(f"__r{i}") for i in range(len(metrics))]
     total = add(ranks)
     wins = add([F.when(r == 1, 1).otherwise(0) for r in ranks])
     norm = add([F.when(F.col(f"x_{m}") > 0, F.coalesce(F.col(m) / F.col(f"x_{m}"), F.lit(0.0))).otherwise(F.lit(0.0)) for m in metrics])
-    out = out.select(*rows.columns, (total / len(metrics)).alias("avg_rank"), wins.alias("__w"), total.alias("__t"), norm.alias("__m"))
+    out = out.select(*rows.columns, (total / len(metrics)).alias("avg_rank"), wins.alias("__w"), total.alias("__t"), norm.alias("__m"), F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy"))
     out = placed(out, [], F.col("avg_rank"), bounds(out, F.col("avg_rank"))[0], F.col("__w").desc(), "__t", F.col("__m").desc(), name, name="rank")
-    return out.drop("__w", "__t", "__m").withColumn("rank", F.col("rank").cast("int"))
+    return out.drop("__w", "__t", "__m", "__copy").withColumn("rank", F.col("rank").cast("int"))
 
 
 def average_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
