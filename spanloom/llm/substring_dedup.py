@@ -123,8 +123,8 @@ def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFra
     shared = seeds.where("low < high").select("seed", "low", (F.col("one") != F.col("other")).alias("branches"))
     rows = common.stored(rows.join(shared, "seed"), "shared")
 
-    whole = rows.where("NOT branches AND doc_id > low").select("doc_id", "tag", F.explode("starts").alias("begin"), "n")
-    whole = whole.select("doc_id", "tag", "begin", (F.col("begin") + F.col("n")).alias("stop"))
+    span = lambda begin, stop: F.struct(begin.alias("begin"), stop.alias("stop"))
+    whole = rows.where("NOT branches AND doc_id > low").select("doc_id", "tag", F.transform("starts", lambda s: span(s, s + F.col("n"))).alias("found"))
 
     forks = rows.where("branches")
     asked = forks.groupBy("seed", "path", "n").agg(F.min(F.struct("doc_id", "tag", F.get("starts", F.lit(0)).alias("start"))).alias("first"))
@@ -132,14 +132,14 @@ def repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFra
     least = edges.groupBy("seed", "edge").agg(F.min("least").alias("low"))
     known = edges.select("seed", "path", "k", "edge").join(least, ["seed", "edge"]).groupBy("seed", "path").agg(F.collect_list(F.struct("k", "low")).alias("edges"))
     hits = forks.select("seed", "path", "doc_id", "tag", "starts").join(known, ["seed", "path"])
-    # the edges of a path that a smaller doc_id has, as runs of neighbours: one row for each run, not for each edge
+    # the edges of a path that a smaller doc_id has, as runs of neighbours; a path's occurrences stay in one row
     ks = F.array_distinct(F.transform(F.filter("edges", lambda e: e["low"] < F.col("doc_id")), lambda e: e["k"]))
     hits = hits.select("doc_id", "tag", "starts", F.array_sort(ks).alias("ks")).where(F.size("ks") > 0)
     ends = lambda step: F.filter("ks", lambda k: ~F.array_contains("ks", k + F.lit(step)))
     runs_ = F.zip_with(ends(-1), ends(1), lambda lo, hi: F.named_struct(F.lit("lo"), lo, F.lit("hi"), hi))
-    single = hits.select("doc_id", "tag", F.explode("starts").alias("start"), runs_.alias("runs")).select("doc_id", "tag", "start", F.explode("runs").alias("run"))
-    single = single.select("doc_id", "tag", (F.col("start") + F.col("run")["lo"]).alias("begin"), (F.col("start") + F.col("run")["hi"] + 1).alias("stop"))
-    return whole.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    found = F.flatten(F.transform(runs_, lambda r: F.transform("starts", lambda s: span(s + r["lo"], s + r["hi"] + 1))))
+    both = whole.unionByName(hits.select("doc_id", "tag", found.alias("found")))
+    return both.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("found")).alias("spans"))
 
 
 def cut(docs: DataFrame, window: int = WINDOW, seed: int = SEED, carry: Sequence[str] = ()) -> DataFrame:
