@@ -44,7 +44,7 @@ def _documents(t: Tables) -> DataFrame:
         F.transform("lines", lambda x: 15 * (x["l_linenumber"] * 5 % 7)).alias("sampled_video_frames"),
         F.array(turn("human", F.when(k % 19 > 0, F.col("o_orderpriority")).otherwise("")), turn("gpt", F.when(k % 23 > 0, answer).otherwise(""))).alias("conversations"),
     )
-    return rows.select("o_orderkey", F.concat(F.lit('{"struc_info":'), info, F.lit(","), F.substring(F.to_json(rest), F.lit(2), F.length(F.to_json(rest)))).alias("text"))
+    return rows.select("o_orderkey", F.concat(F.lit('{"struc_info":'), info, F.lit(","), F.substr(F.to_json(rest), F.lit(2))).alias("text"))
 
 
 # What the documents hold, as relations: orders, their frames with times at `hz` frames a second, cells, spans and what can be seen.
@@ -119,4 +119,5 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 5 = 4 AN
 )
 def segment_layouts(t: Tables) -> DataFrame:
     docs = samples.of_json(_documents(t), "o_orderkey", "text").where("try_variant_get(sample, '$.qa_type', 'string') = 'dense'")
-    return samples.segments(docs).select(F.col("position").alias("o_orderkey"), "layout", F.explode("segments").alias("s")).select("o_orderkey", "layout", "s.*")
+    # explode_outer: explode would infer a filter on the segments and push it, and with it the parsing, below every step.
+    return samples.segments(docs).select(F.col("position").alias("o_orderkey"), "layout", F.explode_outer("segments").alias("s")).where("s IS NOT NULL").select("o_orderkey", "layout", "s.*")
