@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import scopes
 from spanloom.sources import samples
 
 from .registry import Tables, query
@@ -121,3 +122,43 @@ def segment_layouts(t: Tables) -> DataFrame:
     docs = samples.of_json(_documents(t), "o_orderkey", "text").where("try_variant_get(sample, '$.qa_type', 'string') = 'dense'")
     # explode_outer: explode would infer a filter on the segments and push it, and with it the parsing, below every step.
     return samples.segments(docs).select(F.col("position").alias("o_orderkey"), "layout", F.explode_outer("segments").alias("s")).where("s IS NOT NULL").select("o_orderkey", "layout", "s.*")
+
+
+@query(
+    "a14_judge_scores",
+    """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, ['dense_captioning', 'video_summary', 'region_caption'][1 + o_orderkey % 3] AS task FROM orders),
+s AS (SELECT task, 'R2' AS aspect, 1 + c % 5 AS v FROM o WHERE k % 2 = 0 AND k % 8 <> 4 UNION ALL SELECT task, 'R3', 1 + k % 4 FROM o WHERE k % 2 = 0 AND k % 8 <> 4 UNION ALL SELECT task, 'R2', 1 + k % 5 FROM o WHERE k % 4 = 1 UNION ALL SELECT task, 'R4', 2 + k % 7 FROM o WHERE k % 4 = 1),
+m AS (SELECT task, aspect, avg(v) AS mean FROM s GROUP BY 1, 2), a AS (SELECT task, avg(mean) AS average FROM m GROUP BY 1),
+n AS (SELECT task, count(*) AS num_samples, sum(CASE WHEN k % 2 = 0 AND k % 8 <> 4 THEN 1 WHEN k % 4 = 1 THEN 1 + (k % 7 > 0)::INT ELSE 0 END)::BIGINT AS samples_with_scores FROM o GROUP BY 1)
+SELECT task, num_samples, samples_with_scores, samples_with_scores > 0 AS has_llm_judge, round(average, 9) AS average_score, aspect, round(mean, 9) AS mean FROM m JOIN a USING (task) JOIN n USING (task)""",
+)
+def judge_scores(t: Tables) -> DataFrame:
+    """Orders as judged records: scores of their own, of lists by threshold, of both (then their own), empty ones and none."""
+    k = F.col("o_orderkey")
+    own = F.when(k % 8 == 4, F.lit("{}")).otherwise(F.to_json(F.struct((1 + F.col("o_custkey") % 5).alias("R2"), (1 + k % 4).alias("R3"), F.lit(True).alias("api_success"), F.lit("5").alias("note"))))
+    judge = lambda **scores: F.struct(F.struct(*[v.alias(n) for n, v in scores.items()]).alias("llm_judge"))
+    low = F.to_json(F.array(judge(R2=1 + k % 5, api_success=k % 7 > 0, raw_response=F.lit("R2")), judge(R2=F.lit(99).cast("long"), api_success=F.lit(True), raw_response=F.lit(""))))
+    high = F.to_json(F.array(judge(R4=2 + k % 7, api_success=F.lit(True))))
+    lists = F.concat(F.lit('{"0.3":'), low, F.lit(',"0.5":'), high, F.lit(',"0.7":"none"}'))
+    task = F.element_at(F.array(*map(F.lit, ("dense_captioning_gpt", "x_video_summary", "region_caption"))), (k % 3 + 1).cast("int"))
+    text = F.concat(F.lit('{"qa_type":"'), task, F.lit('"'), F.when(k % 2 == 0, F.concat(F.lit(',"llm_judge_scores":'), own)).otherwise(""), F.when((k % 4).isin(1, 2), F.concat(F.lit(',"evaluations":'), lists)).otherwise(""), F.lit("}"))
+    out = samples.judged(samples.of_json(t.orders.select(k, text.alias("text")), "o_orderkey", "text"), ("dense_captioning", "video_summary", "region_caption"))
+    one = out.select("task", "num_samples", "samples_with_scores", "has_llm_judge", F.round("average_score", 9).alias("average_score"), F.explode_outer("aspect_scores").alias("aspect", "mean"))
+    return one.withColumn("mean", F.round("mean", 9))
+
+
+CLAIMS = ("At least one {} tool moves", "There is a {}", "the {} device is visible", "An entire  scene of {}", "provided frames depict {} and a scene", "{} touches the part", "{} is open", "a catheter with {} is identifiable", "{}", "any {}", "  The {} jaw enters ", " ")
+_CLAIM = "replace([" + ", ".join(f"'{c}'" for c in CLAIMS) + "][1 + (p_partkey % 12)::INT], '{}', p_name)"
+_CLEAN = r"regexp_replace(lower(regexp_replace(claim, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')"
+
+
+@query(
+    "x25_claim_scopes",
+    f"""WITH c AS (SELECT p_partkey, {_CLAIM} AS claim FROM part), d AS (SELECT *, {_CLEAN} AS plain FROM c), s AS (SELECT *, CASE {" ".join("WHEN " + " OR ".join(f"regexp_matches(plain, '{p}')" for p in ps) + f" THEN '{scope}'" for scope, _, ps in scopes.SCOPES)} ELSE '{scopes.UNRESOLVED[0]}' END AS scope FROM d)
+SELECT p_partkey, CASE WHEN plain <> '' THEN scope END AS claim_scope, CASE WHEN plain <> '' THEN CASE scope {" ".join(f"WHEN '{scope}' THEN '{reason}'" for scope, reason, _ in scopes.SCOPES)} ELSE '{scopes.UNRESOLVED[1]}' END END AS reason_code, CASE WHEN plain <> '' THEN scope = 'LOCAL_ATOMIC' END AS single_roi_certificate_applicable,
+CASE WHEN plain <> '' THEN sha256(trim(claim)) END AS claim_text_sha256 FROM s""",
+)
+def claim_scopes(t: Tables) -> DataFrame:
+    """Names of parts in claims of every scope, with a blank one."""
+    claim = F.replace(F.get(F.array(*map(F.lit, CLAIMS)), (F.col("p_partkey") % 12).cast("int")), F.lit("{}"), F.col("p_name"))
+    return t.part.select("p_partkey", scopes.claim_scope(claim).alias("x")).select("p_partkey", "x.*")

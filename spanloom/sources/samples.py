@@ -317,3 +317,28 @@ def segments(rows: DataFrame) -> DataFrame:
     items = F.when(F.col("layout") == "NESTED", inner).when(F.col("layout") == "DC_SEGMENTS", under).when(F.col("layout") == "FLAT", F.col("all"))
     made = lambda v: F.struct(_member(v, "start", "double").alias("start"), _member(v, "end", "double").alias("end"), _member(v, "caption", "string").alias("caption"))
     return df.select("position", "layout", F.transform(_objects(items), made).alias("segments"))
+
+
+def judged(rows: DataFrame, tasks: tuple[str, ...]) -> DataFrame:
+    """task, num_samples, samples_with_scores, has_llm_judge, average_score, aspect_scores of judged records, for each of `tasks` that a record's qa_type contains.
+
+    Scores are the numbers under `llm_judge_scores`; without such an object, those of the first judged element of each list under `evaluations`. There a
+    list counts as scored where the judge says `api_success`, otherwise a record with any key does. An average is that of the aspects' means; it and the
+    scores are null where nothing was scored. Tasks without records have no row. Sums meet before the exchange; aspects of a task are one row.
+    """
+    numbers = lambda m: F.filter(F.map_entries(m), lambda e: ~e["key"].isin("api_success", "raw_response") & ~F.schema_of_variant(e["value"]).rlike("^(STRING|OBJECT|ARRAY|VOID)"))
+    parts = lambda v: F.try_variant_get(v, "$", "map<string, variant>")
+    df = rows.select(F.explode(F.filter(F.array(*map(F.lit, tasks)), lambda t: F.contains(_text("qa_type"), t))).alias("task"), _at("llm_judge_scores", "map<string, variant>").alias("direct"), _at("evaluations", "map<string, variant>").alias("evaluations"))
+    lists = F.transform(F.map_values("evaluations"), lambda v: _objects(F.try_variant_get(v, "$", "array<variant>")))
+    first = F.transform(lists, lambda items: F.get(F.filter(F.transform(items, lambda v: parts(F.try_variant_get(v, "$.llm_judge", "variant"))), lambda m: m.isNotNull()), F.lit(0)))
+    df = df.withColumn("judges", F.when(F.col("direct").isNotNull(), F.array("direct")).otherwise(F.filter(first, lambda m: m.isNotNull())))
+    said = lambda m: F.coalesce(F.try_variant_get(F.try_element_at(m, F.lit("api_success")), "$", "boolean"), F.lit(False))
+    scored = F.when(F.col("direct").isNotNull(), F.when(F.size("direct") > 0, 1).otherwise(0)).otherwise(F.size(F.filter(F.coalesce("judges", F.array().cast("array<map<string, variant>>")), said)))
+    entry = lambda e: F.struct(e["key"].alias("aspect"), F.try_variant_get(e["value"], "$", "double").alias("value"), F.lit(0).alias("sample"), F.lit(0).alias("scored"))
+    own = F.struct(F.lit(None).cast("string").alias("aspect"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("sample"), scored.alias("scored"))
+    found = F.transform(F.flatten(F.transform("judges", numbers)), entry)
+    flat = df.select("task", F.explode(F.concat(F.array(own), F.coalesce(found, F.array().cast("array<struct<aspect: string, value: double, sample: int, scored: int>>")))).alias("x")).select("task", "x.*")
+    means = flat.groupBy("task", "aspect").agg(F.avg("value").alias("mean"), F.sum("sample").alias("samples"), F.sum("scored").alias("scored"))
+    out = means.groupBy("task").agg(F.sum("samples").alias("num_samples"), F.sum("scored").alias("samples_with_scores"), F.avg("mean").alias("average_score"), F.array_sort(F.collect_list(F.when(F.col("aspect").isNotNull(), F.struct("aspect", "mean")))).alias("all"))
+    has = (F.col("samples_with_scores") > 0) & (F.size("all") > 0)
+    return out.select("task", "num_samples", "samples_with_scores", has.alias("has_llm_judge"), F.when(has, F.col("average_score")).alias("average_score"), F.when(has, F.map_from_entries("all")).alias("aspect_scores"))

@@ -95,3 +95,16 @@ def test_labels(spark):
     assert tuple(r) == ("STRONG_GT_ALIGNED", "STRONG_GT_SUPPORT", "NO_GT_OVERLAP", "SPURIOUS_SUPPORT", "NOT_SUPPORT_CANDIDATE", "WEAK_GT_ALIGNED")
     r = one(spark, labels.best_label({"A": F.lit(1.0), "B": F.lit(1.0), "C": F.lit(0.0)}), labels.retention(F.lit(True), F.lit("YES")), labels.retention(F.lit(False), F.lit("YES")), labels.first_reason([("x", F.lit(False)), ("y", F.lit(True))]), labels.human_bytes(F.lit(2048)))
     assert tuple(r) == ("A", 1, None, "y", "2.00 KiB")
+
+
+def test_claim_scope(spark):
+    import hashlib
+
+    from spanloom.functions.scopes import claim_scope
+
+    claims = [" At least ONE  small tool is used ", "There are some cuts", "The device is visibly present", "The overall scene is calm", "Supplied frames visibly depict a long procedure", "The forceps grasp tissue", "The stoma is identifiable", "A contactless step", "", "\n ", None]
+    got = [x.x for x in spark.createDataFrame([(i, c) for i, c in enumerate(claims)], "i int, c string").select("i", claim_scope(F.col("c")).alias("x")).orderBy("i").collect()]
+    m, g, a, u = "MULTI_SUPPORT_POSSIBLE", "GLOBAL_DISTRIBUTED", "LOCAL_ATOMIC", "UNRESOLVED_SCOPE"
+    assert [x and x.claim_scope for x in got] == [m, m, m, g, g, a, a, u, None, None, None]
+    assert [x.single_roi_certificate_applicable for x in got[5:8]] == [True, True, False]
+    assert got[0].claim_text_sha256 == hashlib.sha256(claims[0].strip().encode()).hexdigest()

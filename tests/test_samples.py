@@ -126,3 +126,14 @@ def test_files_and_rows_that_are_none(spark, tmp_path):
     big = tal_sample(video=["p"] * 20000, sampled_video_frames=[15 * (i // 2) for i in range(20000)])
     x = run(samples.tal, spark, big, big)
     assert [(len(y.cells), y.duplicate_count, len(y.visible)) for y in x] == [(10000, 10000, 2)] * 2
+
+
+def test_judged(spark):
+    nested = {"0.3": [{"x": 1}, {"llm_judge": {"R2": 4, "api_success": True, "raw_response": 7}}, {"llm_judge": {"R2": 1, "api_success": True}}], "0.5": [{"llm_judge": {"R2": 2.0, "R4": "3"}}], "0.7": 5}
+    rows = variants(spark, {"qa_type": "region_caption_gpt", "llm_judge_scores": {"R2": 5, "R3": 1, "api_success": 1}, "evaluations": nested}, {"qa_type": "region_caption", "evaluations": nested}, {"qa_type": "region_caption"}, {"qa_type": "other"}, {"qa_type": "video_summary"}, "5", "null", "no JSON")
+    got = {x.task: x for x in samples.judged(rows, ("region_caption", "video_summary", "dense_captioning")).collect()}
+    assert sorted(got) == ["region_caption", "video_summary"]
+    x = got["region_caption"]
+    assert (x.num_samples, x.samples_with_scores, x.has_llm_judge) == (3, 2, True) and x.aspect_scores == {"R2": pytest.approx(11 / 3), "R3": 1} and x.average_score == pytest.approx((11 / 3 + 1) / 2)
+    assert tuple(got["video_summary"]) == ("video_summary", 1, 0, False, None, None)
+    assert samples.judged(rows.limit(0), ("video_summary",)).collect() == []
