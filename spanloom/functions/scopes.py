@@ -57,3 +57,24 @@ def claim_scope(text: Column) -> Column:
         out = F.when(reduce(lambda a, b: a | b, [plain.rlike(p) for p in patterns]), told(scope, reason)).otherwise(out)
     full = F.struct(out["claim_scope"].alias("claim_scope"), out["reason_code"].alias("reason_code"), (out["claim_scope"] == "LOCAL_ATOMIC").alias("single_roi_certificate_applicable"), F.sha2(stripped, 256).alias("claim_text_sha256"))
     return F.when(stripped != "", full)
+
+
+# The questions that ask for a time, with the event as the first group.
+TERMINAL = (
+    ("when_does_happen", r"when does ([^?.!]+?) happen[?!]+"),
+    ("when_is_performed", r"when is ([^?.!]+?) performed[?!]+"),
+    ("during_what_interval_does_occur", r"during what interval does ([^?.!]+?) occur[?!]+"),
+    ("find_segments_where_happens", r"find the segment\(s\) where ([^?.!]+?) happens[.!?]+"),
+    ("what_is_time_span_of", r"what is the time span of ([^?.!]+?)[?!]+"),
+    ("when_can_i_see_in_video", r"when can i see ([^?.!]+?) in the video[?!]+"),
+)
+
+
+def terminal_query(question: Column) -> Column:
+    """template, event of a question that ends with one of the known clauses, lower-cased and with single blanks; null where no clause ends it, or any clause stands in it besides."""
+    plain = F.trim(F.regexp_replace(F.lower(question), r"\s+", " "))
+    ends = lambda p: plain.rlike(rf"{p}\s*\z")
+    event = lambda p: F.trim(F.regexp_extract(plain, rf"{p}\s*\z", 1))
+    made = F.coalesce(*[F.when(ends(p), F.struct(F.lit(name).alias("template"), event(p).alias("event"))) for name, p in TERMINAL])
+    once = lambda counts: reduce(lambda a, b: a + b, counts) == 1
+    return F.when(once([ends(p).cast("int") for _, p in TERMINAL]) & once([F.regexp_count(plain, F.lit(p)) for _, p in TERMINAL]) & (made["event"] != ""), made)

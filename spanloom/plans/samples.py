@@ -162,3 +162,23 @@ def claim_scopes(t: Tables) -> DataFrame:
     """Names of parts in claims of every scope, with a blank one."""
     claim = F.replace(F.get(F.array(*map(F.lit, CLAIMS)), (F.col("p_partkey") % 12).cast("int")), F.lit("{}"), F.col("p_name"))
     return t.part.select("p_partkey", scopes.claim_scope(claim).alias("x")).select("p_partkey", "x.*")
+
+
+QUESTIONS = (
+    "When does {} happen?", "A list. when is  {} performed ?!", "In this clip, during what interval does {} occur!", "Find the segment(s) where {} happens.", "what is the time span of {}??  ", "When can I see {} in the video?",
+    "When does {} happen? When is it performed?", "When does a happen. {}", "{}", "When is {} performed?!",
+)
+_QUESTION = "replace([" + ", ".join(f"'{q}'" for q in QUESTIONS) + "][1 + (p_partkey % 10)::INT], '{}', p_name)"
+_ENDS = [f"regexp_matches(q, '{p}\\s*$')" for _, p in scopes.TERMINAL]
+
+
+@query(
+    "x26_terminal_queries",
+    f"""WITH q AS (SELECT p_partkey, trim(regexp_replace(lower({_QUESTION}), '\\s+', ' ', 'g')) AS q FROM part), c AS (SELECT *, {" + ".join(f"({e})::INT" for e in _ENDS)} AS ends, {" + ".join(f"len(regexp_extract_all(q, '{p}'))" for _, p in scopes.TERMINAL)} AS all_ FROM q)
+SELECT p_partkey, CASE WHEN ends = 1 AND all_ = 1 THEN CASE {" ".join(f"WHEN {e} THEN '{name}'" for e, (name, _) in zip(_ENDS, scopes.TERMINAL))} END END AS template,
+CASE WHEN ends = 1 AND all_ = 1 THEN CASE {" ".join(f"WHEN {e} THEN trim(regexp_extract(q, '{p}\\s*$', 1))" for e, (_, p) in zip(_ENDS, scopes.TERMINAL))} END END AS event FROM c""",
+)
+def terminal_queries(t: Tables) -> DataFrame:
+    """Names of parts in questions of every form, with two clauses, with none and with one that doesn't end the question."""
+    asked = F.replace(F.get(F.array(*map(F.lit, QUESTIONS)), (F.col("p_partkey") % 10).cast("int")), F.lit("{}"), F.col("p_name"))
+    return t.part.select("p_partkey", scopes.terminal_query(asked).alias("x")).select("p_partkey", "x.*")

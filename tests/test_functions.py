@@ -108,3 +108,11 @@ def test_claim_scope(spark):
     assert [x and x.claim_scope for x in got] == [m, m, m, g, g, a, a, u, None, None, None]
     assert [x.single_roi_certificate_applicable for x in got[5:8]] == [True, True, False]
     assert got[0].claim_text_sha256 == hashlib.sha256(claims[0].strip().encode()).hexdigest()
+
+
+def test_terminal_query(spark):
+    from spanloom.functions.scopes import terminal_query
+
+    asked = ["Step one. When does  the Cut happen?! ", "what is the time span of x?", "When is x performed? When does y happen?", "When does x happen", "When does x. y happen?", "find the segment(s) where x happens.", "When can I see x in the video??", "", None, "When does   happen?"]
+    got = [x.x and tuple(x.x) for x in spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "i int, q string").select("i", terminal_query(F.col("q")).alias("x")).orderBy("i").collect()]
+    assert got == [("when_does_happen", "the cut"), ("what_is_time_span_of", "x"), None, None, None, ("find_segments_where_happens", "x"), ("when_can_i_see_in_video", "x"), None, None, None]
