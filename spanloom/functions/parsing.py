@@ -23,15 +23,34 @@ def level_of(text: Column) -> Column:
     return F.coalesce(whole, part, said)
 
 
+def _unfenced(text: Column) -> Column:
+    """A text without a fence of one to three backticks before `json` and without one at its end; blanks at both ends don't count."""
+    said = F.trim(text)
+    opened, bare = F.length(said) - F.length(F.ltrim(said, F.lit("`"))), F.ltrim(said, F.lit("`"))
+    said = F.when(opened.between(1, 3) & (F.lower(F.left(bare, F.lit(4))) == "json"), F.substr(bare, F.lit(5))).otherwise(said)
+    return F.trim(F.when(F.length(said) - F.length(F.rtrim(said, F.lit("`"))) <= 3, F.rtrim(said, F.lit("`"))).otherwise(said), F.lit(" \t\r\n"))
+
+
 def wrapped_box(text: Column) -> Column:
-    """Four numbers of a JSON list, within fences, single lists or one JSON string; null for anything else."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"(?i)^`{1,3}json\s*", ""), r"\s*`{1,3}$", "")
-    bare = F.regexp_replace(F.trim(bare), r'^"(.*)"$', "$1")
-    for _ in range(3):
-        bare = F.regexp_replace(bare, r"^\[\s*(\[.*\])\s*\]$", "$1")
-    number = r"-?\d+(?:\.\d+)?"
-    whole = bare.rlike(rf"^\[\s*{number}\s*(?:,\s*{number}\s*){{3}}\]$")
-    return F.when(whole, F.transform(F.regexp_extract_all(bare, F.lit(f"({number})")), lambda x: x.cast("double")))
+    """Box of a JSON answer in thousandths: {"bbox": [x1, y1, x2, y2]} alone, or the list by itself, in a fence, in lists of one or in JSON texts, three layers at most.
+
+    Null for anything else: other keys, more than one list, not four numbers, fractions, corners outside 0 to 1000 or not in order.
+    """
+    is_a = lambda v, *kinds: F.schema_of_variant(v).rlike("^(" + "|".join(kinds) + ")")
+    items = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    keys = lambda v: F.size(F.try_variant_get(v, "$", "map<string,variant>"))
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def inward(v: Column, _: Column) -> Column:
+        return F.when(is_a(v, "STRING"), F.try_parse_json(F.try_variant_get(v, "$", "string"))).when(is_a(v, "ARRAY") & (F.size(items(v)) == 1), F.get(items(v), F.lit(0))).otherwise(v)
+
+    def corners(four: Column) -> Column:
+        x1, y1, x2, y2 = (F.get(four, F.lit(i)) for i in range(4))
+        return F.when((F.size(four) == 4) & F.forall(four, lambda c: (c == F.floor(c)) & c.between(0, 1000)) & (x1 < x2) & (y1 < y2), four)
+
+    listed = lambda v: F.when(is_a(v, "OBJECT"), F.when(keys(v) == 1, F.try_variant_get(v, "$.bbox", "array<variant>"))).otherwise(items(F.aggregate(F.sequence(F.lit(1), F.lit(3)), v, inward)))
+    number = lambda v: F.when(is_a(v, "BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(v, "$", "double"))
+    return bound(F.transform(bound(F.try_parse_json(_unfenced(text)), listed), number), corners)
 
 
 def box_list(text: Column) -> Column:

@@ -26,12 +26,12 @@ def level_synonyms(t: Tables) -> DataFrame:
 
 @query(
     "x06_x14_boxes",
-    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN [event_id % 90, user_id, event_id % 90 + 5, user_id + 7]::DOUBLE[] WHEN 1 THEN [event_id % 90, user_id, event_id % 90 + 5, user_id + 7]::DOUBLE[] END AS wrapped,
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN [event_id % 90, user_id % 900, event_id % 90 + 5, user_id % 900 + 7]::DOUBLE[] WHEN 1 THEN [event_id % 90, user_id % 900, event_id % 90 + 5, user_id % 900 + 7]::DOUBLE[] END AS wrapped,
   CASE event_id % 4 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS found FROM events""",
 )
 def box_texts(t: Tables) -> DataFrame:
     """Boxes in fences and lists, in prose, and several of them."""
-    k, u = F.col("event_id") % 90, F.col("user_id")
+    k, u = F.col("event_id") % 90, F.col("user_id") % 900
     box = F.concat(F.lit("["), F.concat_ws(", ", k, u, k + 5, u + 7), F.lit("]"))
     kind = F.col("event_id") % 4
     text = F.when(kind == 0, F.concat(F.lit("```json\n["), box, F.lit("]\n```"))).when(kind == 1, box).when(kind == 2, F.lit("no box here")).otherwise(F.concat(F.lit("see "), box, F.lit(" and "), box))

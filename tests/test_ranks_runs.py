@@ -59,7 +59,10 @@ def test_verdicts(spark):
 def test_parsers(spark):
     s = F.lit
     assert one(spark, *[parsing.level_of(s(x)) for x in ("Expert", " quite good ", "zzz", "unknown")]) == ("expert", "intermediate", "zzz", "novice")
-    assert one(spark, *[parsing.wrapped_box(s(x)) for x in ("```json\n[[1, 2, 3, 4]]\n```", "[1,2,3.5,4]", '"[1,2,3,4]"', "at [1,2,3,4]", "[1,2,3]")]) == ([1, 2, 3, 4], [1, 2, 3.5, 4], [1, 2, 3, 4], None, None)
+    assert one(spark, *[parsing.wrapped_box(s(x)) for x in ("```json\n[[1, 2, 3, 4]]\n```", "[1,2,3.0,4]", '"[1,2,3,4]"', "at [1,2,3,4]", "[1,2,3]")]) == ([1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4], None, None)
+    assert one(spark, *[parsing.wrapped_box(s(x)) for x in ('{"bbox": [1, 2, 3, 4]}', '["[1,2,3,4]"]', "`JSON [[[[0,0,1000,1000]]]]`", '{"bbox": [1, 2, 3, 4.0]}')]) == ([1, 2, 3, 4], [1, 2, 3, 4], [0, 0, 1000, 1000], [1, 2, 3, 4])
+    refused = ("[1,2,3.5,4]", "[3,2,1,4]", "[-1,2,3,4]", "[1,2,3,1001]", '["1",2,3,4]', '{"bbox": [1,2,3,4], "why": 1}', "[[[[[1,2,3,4]]]]]", "[[1,2,3,4],[1,2,3,4]]", "````json [1,2,3,4]", "", "null", '{"bbox": null}')
+    assert one(spark, *[parsing.wrapped_box(s(x)) for x in refused]) == (None,) * len(refused)
     assert one(spark, parsing.box_list(s("[1, 2, 3, 4] and [5,6,7,8.5]"))) == ([[1, 2, 3, 4], [5, 6, 7, 8.5]],)
     assert one(spark, parsing.schedule(s(0.0), s(1.0), s(0.25)), parsing.schedule(s(2.0), s(1.0), s(0.5)), parsing.schedule(s(0.0), s(1.0), s(0.0))) == ([0, 0.25, 0.5, 0.75, 1], None, None)
     assert one(spark, *[parsing.query_type(s(x)) for x in ('{"isGlobal": true}', '{"isGlobal": "False"}', '{"isGlobal": 1}', "x")]) == ("global", "local", None, None)
