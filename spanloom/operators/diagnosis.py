@@ -126,3 +126,37 @@ def candidate_rows(samples: DataFrame, key: str, size: int, stride: int) -> Data
         F.when(timed, first["at"]).otherwise(F.col("start_pos")).alias("start"), F.when(timed, last["at"]).otherwise(F.col("start_pos") + F.size("f") - 1).alias("end"),
         F.when(timed, "public_timestamp").otherwise("frame_order").alias("coordinates"), F.size("f").alias("frame_count"), (F.size("f") < size).alias("tail_short"),
     )
+
+
+#: Totals of a diagnosis by the root causes that they count.
+TOTALS = {
+    "technical_or_protocol_failures": ("TECHNICAL_DIAGNOSTIC", "TECHNICAL_ERROR", "PROTOCOL_UNAVAILABLE"),
+    "temporal_or_semantic_failures": ("TEMPORAL_OR_SEMANTIC_INSUFFICIENT",),
+    "unresolved_failures": ("UNRESOLVED",),
+}
+
+
+def diagnose(certificates: DataFrame, controls: DataFrame, pixels: DataFrame) -> DataFrame:
+    """certificate_id, root_cause, eligible, action, mismatch (struct class, reason), n_results, effect of each certificate of a completed run.
+
+    certificates: certificate_id (one row each), reasons, expected, generated, geometry_refinable. controls: certificate_id, status, one row for each result; a certificate
+    counts as unavailable where any of its rows says so. pixels: certificate_id, position, effect; the earliest counts, the smaller one of equals. Events are aggregated before they meet
+    the certificates, so one certificate may hold any share of them; events of unknown certificates are left out. Certificates without events have null counts. `mismatch` is null
+    unless the reasons tell of one. Null reasons count as none; reasons that no rule knows are UNRESOLVED and not eligible.
+    """
+    counted = controls.groupBy("certificate_id").agg(F.count(F.lit(1)).alias("n_results"), F.when(F.bool_or(F.col("status") == "CONTROL_UNAVAILABLE"), "CONTROL_UNAVAILABLE").otherwise("OK").alias("status"))
+    first = pixels.groupBy("certificate_id").agg(F.min(F.struct("position", "effect"))["effect"].alias("effect"))
+    rows = certificates.join(counted, "certificate_id", "left").join(first, "certificate_id", "left")
+    rows = rows.withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
+    unresolved = F.struct(F.lit("UNRESOLVED").alias("root_cause"), F.lit(False).alias("eligible"), F.lit("DIAGNOSE_UNRESOLVED_FAILURE").alias("action"))
+    route = F.coalesce(verdicts.refinement(F.col("reasons"), F.col("effect"), F.coalesce("geometry_refinable", F.lit(False))), unresolved)
+    mismatch = F.when(F.array_contains("reasons", "CONTROL_RESULT_COUNT_MISMATCH"), verdicts.count_mismatch(F.col("expected"), F.col("generated"), F.col("n_results"), F.col("status")))
+    return rows.select("certificate_id", route.alias("r"), mismatch.alias("mismatch"), "n_results", "effect").select("certificate_id", "r.*", "mismatch", "n_results", "effect")
+
+
+def diagnosis_totals(diagnoses: DataFrame) -> DataFrame:
+    """kind, name, n: certificates by root cause and by class of mismatch, and the totals of TOTALS, of those that can be refined and of all that are above nothing; one aggregate."""
+    one = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    totals = [F.when(F.col("root_cause").isin(*causes), one("total", F.lit(name))) for name, causes in TOTALS.items()]
+    kinds = [one("root_cause", F.col("root_cause")), F.when(F.col("mismatch").isNotNull(), one("mismatch", F.col("mismatch.class"))), F.when(F.col("eligible"), one("total", F.lit("spatial_refinable_failures"))), one("total", F.lit("candidates"))]
+    return diagnoses.select(F.explode(F.array_compact(F.array(*kinds, *totals))).alias("k")).groupBy("k.kind", "k.name").agg(F.count(F.lit(1)).alias("n"))

@@ -99,3 +99,29 @@ def candidate_rows(t: Tables) -> DataFrame:
     at = F.when((F.col("k") % 3 > 0) | (F.col("l_linenumber") != 2), F.col("l_linenumber") / 2)
     each = F.struct("l_linenumber", F.concat(F.lit("f"), "l_linenumber").alias("frame_id"), F.concat(F.lit("p/"), "l_linenumber").alias("path"), at.alias("at"))
     return diagnosis.candidate_rows(frames.groupBy("k").agg(F.array_sort(F.collect_list(each)).alias("frames")), "k", 3, 2)
+
+
+REASONS = ("KEEP_SUPPORT_LOST", "CONTROL_UNAVAILABLE", "INTERVENTION_NO_EFFECT", "ORIGINAL_INSUFFICIENT", "TECHNICAL_FAILURE", "CONTROL_RESULT_COUNT_MISMATCH", "OTHER_REASON")
+EFFECTS = ("UNIFORM_REGION", "ARTIFACT_NOT_APPLIED", "OTHER")
+
+
+@query(
+    "v64_failure_diagnosis",
+    f"""WITH r AS (SELECT l_orderkey AS k, list(DISTINCT {list(REASONS)}[1 + least(l_partkey % 18, 6)]) AS rs FROM lineitem GROUP BY 1),
+c AS (SELECT l_orderkey AS k, count(*) AS r, bool_or(l_linenumber = 2) AS gone FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1), p AS (SELECT l_orderkey AS k, list({list(EFFECTS)}[1 + l_suppkey % 3] ORDER BY l_linenumber, {list(EFFECTS)}[1 + l_suppkey % 3])[1] AS effect FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
+j AS (SELECT k, rs, r, coalesce(gone, false) AS gone, effect, 1 + k % 4 AS e, 1 + k % 3 AS g FROM r LEFT JOIN c USING (k) LEFT JOIN p USING (k)),
+d AS (SELECT CASE WHEN list_contains(rs, 'CONTROL_RESULT_COUNT_MISMATCH') THEN 'TECHNICAL_DIAGNOSTIC' WHEN list_contains(rs, 'TECHNICAL_FAILURE') THEN 'TECHNICAL_ERROR' WHEN list_contains(rs, 'ORIGINAL_INSUFFICIENT') THEN 'TEMPORAL_OR_SEMANTIC_INSUFFICIENT' WHEN list_contains(rs, 'INTERVENTION_NO_EFFECT') THEN CASE effect WHEN 'UNIFORM_REGION' THEN 'SPATIAL_PROPOSAL_OR_ROI_FAILURE' WHEN 'ARTIFACT_NOT_APPLIED' THEN 'TECHNICAL_ERROR' ELSE 'UNRESOLVED' END
+WHEN list_contains(rs, 'CONTROL_UNAVAILABLE') THEN CASE WHEN k % 2 = 0 THEN 'SPATIAL_PROPOSAL_GEOMETRY' ELSE 'PROTOCOL_UNAVAILABLE' END WHEN list_contains(rs, 'KEEP_SUPPORT_LOST') THEN 'SPATIAL_DEPENDENCE_OR_SUFFICIENCY' ELSE 'UNRESOLVED' END AS root,
+CASE WHEN list_contains(rs, 'CONTROL_RESULT_COUNT_MISMATCH') THEN CASE WHEN r IS NULL THEN 'C_UNRESOLVED' WHEN gone AND g < e AND r = g THEN 'B_LEGITIMATE_PROTOCOL_UNAVAILABLE' WHEN g = e AND r <> g THEN 'A_IMPLEMENTATION_OR_ARTIFACT_BUG' WHEN g <> e AND NOT gone THEN 'A_IMPLEMENTATION_OR_ARTIFACT_BUG' ELSE 'C_UNRESOLVED' END END AS mismatch FROM j),
+u AS (SELECT 'root_cause' AS kind, root AS name FROM d UNION ALL SELECT 'mismatch', mismatch FROM d WHERE mismatch IS NOT NULL UNION ALL SELECT 'total', 'candidates' FROM d UNION ALL SELECT 'total', 'spatial_refinable_failures' FROM d WHERE root LIKE 'SPATIAL%' UNION ALL SELECT 'total', 'technical_or_protocol_failures' FROM d WHERE root IN ('TECHNICAL_DIAGNOSTIC', 'TECHNICAL_ERROR', 'PROTOCOL_UNAVAILABLE')
+UNION ALL SELECT 'total', 'temporal_or_semantic_failures' FROM d WHERE root LIKE 'TEMPORAL%' UNION ALL SELECT 'total', 'unresolved_failures' FROM d WHERE root = 'UNRESOLVED') SELECT kind, name, count(*) AS n FROM u GROUP BY 1, 2""",
+)
+def failure_diagnosis(t: Tables) -> DataFrame:
+    """Orders as certificates: their lines tell the reasons, most of them are results of controls, the first two pixel audits."""
+    at = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
+    k = F.col("l_orderkey").alias("certificate_id")
+    certificates = t.lineitem.groupBy(k).agg(F.collect_set(at(REASONS, F.least(F.col("l_partkey") % 18, F.lit(6)))).alias("reasons"))
+    certificates = certificates.withColumns({"expected": 1 + F.col("certificate_id") % 4, "generated": 1 + F.col("certificate_id") % 3, "geometry_refinable": F.col("certificate_id") % 2 == 0})
+    controls = t.lineitem.where("l_returnflag != 'R'").select(k, F.when(F.col("l_linenumber") == 2, "CONTROL_UNAVAILABLE").otherwise("OK").alias("status"))
+    pixels = t.lineitem.where("l_linenumber <= 2").select(k, F.col("l_linenumber").alias("position"), at(EFFECTS, F.col("l_suppkey") % 3).alias("effect"))
+    return diagnosis.diagnosis_totals(diagnosis.diagnose(certificates, controls, pixels))

@@ -77,3 +77,20 @@ def test_candidates_against_plain_python(spark):
                 break
     assert sorted(tuple(r) for r in diagnosis.candidate_rows(frames, "k", 3, 2).collect()) == sorted(want)
     assert diagnosis.candidate_rows(frames.where(F.lit(False)), "k", 3, 2).count() == 0
+
+
+def test_diagnoses(spark):
+    certificates = [("a", ["CONTROL_RESULT_COUNT_MISMATCH"], 2, 2, None), ("b", ["CONTROL_RESULT_COUNT_MISMATCH", "ORIGINAL_INSUFFICIENT"], 2, 1, True), ("c", ["INTERVENTION_NO_EFFECT"], 1, 1, None), ("d", ["CONTROL_UNAVAILABLE"], 1, 1, True), ("e", ["CONTROL_UNAVAILABLE"], 1, 1, None), ("f", None, None, None, None), ("g", ["CONTROL_RESULT_COUNT_MISMATCH"], 2, 2, None)]
+    controls = [("a", "OK"), ("b", "CONTROL_UNAVAILABLE"), ("c", None), ("x", "OK")]
+    pixels = [("c", 2, "ARTIFACT_NOT_APPLIED"), ("c", 1, "UNIFORM_REGION"), ("x", 1, "UNIFORM_REGION")]
+    frames = (spark.createDataFrame(certificates, "certificate_id string, reasons array<string>, expected int, generated int, geometry_refinable boolean"), spark.createDataFrame(controls, "certificate_id string, status string"), spark.createDataFrame(pixels, "certificate_id string, position int, effect string"))
+    made = diagnosis.diagnose(*frames)
+    got = {r.certificate_id: (r.root_cause, r.eligible, r.mismatch and r.mismatch["class"], r.n_results, r.effect) for r in made.collect()}
+    assert got == {
+        "a": ("TECHNICAL_DIAGNOSTIC", False, "A_IMPLEMENTATION_OR_ARTIFACT_BUG", 1, None), "b": ("TECHNICAL_DIAGNOSTIC", False, "B_LEGITIMATE_PROTOCOL_UNAVAILABLE", 1, None),
+        "c": ("SPATIAL_PROPOSAL_OR_ROI_FAILURE", True, None, 1, "UNIFORM_REGION"), "d": ("SPATIAL_PROPOSAL_GEOMETRY", True, None, None, None), "e": ("PROTOCOL_UNAVAILABLE", False, None, None, None),
+        "f": ("UNRESOLVED", False, None, None, None), "g": ("TECHNICAL_DIAGNOSTIC", False, "C_UNRESOLVED", None, None),
+    }
+    totals = {(r.kind, r.name): r.n for r in diagnosis.diagnosis_totals(made).collect()}
+    assert totals["total", "candidates"] == 7 and totals["total", "technical_or_protocol_failures"] == 4 and totals["total", "spatial_refinable_failures"] == 2 and totals["mismatch", "C_UNRESOLVED"] == 1
+    assert diagnosis.diagnosis_totals(diagnosis.diagnose(*[f.limit(0) for f in frames])).count() == 0
