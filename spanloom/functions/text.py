@@ -45,15 +45,19 @@ def caption_lines(text: Column) -> Column:
 
 
 def box_series(text: Column) -> Column:
-    """Array of (t, box) from `t seconds: [x1, y1, x2, y2]`; a box of zeros takes the one before it."""
-    pattern = NUMBER + r"\s*seconds?:\s*\[([^\]]*)\]"
-    times = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    boxes = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    rows = F.zip_with(times, boxes, lambda t, b: F.struct(t.cast("double").alias("t"), F.transform(F.split(b, r"\s*,\s*"), lambda x: x.try_cast("double")).alias("box")))
+    """Array of (t, box) from `t seconds: [x1, y1, x2, y2]`, each time once where it is first told, with the box told last.
+
+    What isn't four decimal numbers takes the last box before it, and is left out where there is none. Null texts give null.
+    """
+    pattern = r"(\d+(?:\.\d+)?)\s+seconds:\s*\[([^\]]+)\]"
+    number = r"^\s*\[*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
+    told = lambda b: F.transform(F.split(b, ","), lambda x: F.nullif(F.regexp_extract(x, number, 1), F.lit("")).try_cast("double"))
+    whole = lambda b: F.get(F.filter(F.array(told(b)), lambda n: (F.size(n) == 4) & F.forall(n, lambda x: x.isNotNull())), F.lit(0))
+    rows = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda t, b: F.struct(t.cast("double").alias("t"), whole(b).alias("box")))
     kind = "array<struct<t:double,box:array<double>>>"
-    zero = F.array(*[F.lit(0.0)] * 4)
-    step = lambda acc, r: F.concat(acc, F.array(F.struct(r["t"].alias("t"), F.when((r["box"] == zero) & (F.size(acc) > 0), F.element_at(acc, -1)["box"]).otherwise(r["box"]).alias("box"))))
-    return F.aggregate(rows, F.array().cast(kind), step)
+    step = lambda acc, r: F.concat(acc, F.array(F.struct(r["t"].alias("t"), F.coalesce(r["box"], F.get(F.slice(acc, -1, 1), F.lit(0))["box"]).alias("box"))))
+    once = lambda acc: F.transform(F.array_distinct(F.transform(acc, lambda r: r["t"])), lambda t: F.element_at(F.filter(acc, lambda r: r["t"] == t), -1))
+    return F.aggregate(rows, F.array().cast(kind), step, lambda acc: once(F.filter(acc, lambda r: r["box"].isNotNull())))
 
 
 def yes_no(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import boxes, intervals, parsing
+from spanloom.functions import text as texts
 
 from .registry import Tables, query
 
@@ -271,3 +272,17 @@ def spans_once(t: Tables) -> DataFrame:
     return once.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("p", "a", "b"))).alias("x")).select("l_orderkey", F.transform("x", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))).alias("spans"))
 
 
+@query(
+    "x05_box_series",
+    """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2), b AS (SELECT k, i, i // 2 + 0.5 AS t, CASE WHEN i % 3 > 0 AND p % 5 > 0 THEN [p, s, p + 1.5, 0]::DOUBLE[] END AS told FROM l),
+c AS (SELECT k, i, t, last_value(told IGNORE NULLS) OVER (PARTITION BY k ORDER BY i) AS box FROM b), o AS (SELECT k, t, min(i) AS i, arg_max(box, i) AS box FROM c WHERE box IS NOT NULL GROUP BY 1, 2), g AS (SELECT k, list({'t': t::DOUBLE, 'box': box} ORDER BY i) AS series FROM o GROUP BY 1)
+SELECT l_orderkey, coalesce(series, []) AS series FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN g ON k = l_orderkey""",
+)
+def box_series(t: Tables) -> DataFrame:
+    """The lines of an order as boxes at times, some told twice, some without four numbers."""
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    p, i = F.col("p"), F.col("l_linenumber")
+    box = F.when(i % 3 == 0, F.concat(p, F.lit(", "), p)).when(p % 5 > 0, F.concat_ws(", ", p, "s", F.concat(p + 1, F.lit(".5")), F.lit("0"))).otherwise("1, 2, x, 4")
+    line = F.concat(F.floor(i / 2), F.lit(".5 seconds: ["), box, F.lit("]"))
+    answers = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(i, line.alias("line")))), lambda r: r["line"]), "\n").alias("answer"))
+    return answers.select("l_orderkey", texts.box_series(F.col("answer")).alias("series"))

@@ -78,8 +78,11 @@ def test_text_parsers(spark):
     assert seg("nothing") == []
     lines = one(spark, text.caption_lines(F.lit("0.0-5.0 seconds: cut\n5.0-9.0 seconds: tie\nknot")))[0]
     assert [tuple(x) for x in lines] == [(0.0, 5.0, "cut"), (5.0, 9.0, "tie\nknot")]
-    series = one(spark, text.box_series(F.lit("8.0 seconds: [445, 107, 582, 262] 9.0 seconds: [0,0,0,0] 10 seconds: [1,2,3,4]")))[0]
-    assert [(x["t"], x["box"]) for x in series] == [(8.0, [445, 107, 582, 262]), (9.0, [445, 107, 582, 262]), (10.0, [1, 2, 3, 4])]
+    boxes = lambda s: [(x["t"], x["box"]) for x in one(spark, text.box_series(F.lit(s)))[0]]
+    assert boxes("8.0 seconds: [445, 107, 582, 262] 9.0 seconds: [0,0,0,0] 10 seconds: [1,2,3,4]") == [(8.0, [445, 107, 582, 262]), (9.0, [0, 0, 0, 0]), (10.0, [1, 2, 3, 4])]
+    assert boxes("1 seconds: [x] 2 seconds: [1, -2, .5, 1e2] 3 seconds: [1, 2, 3] 4 seconds: [1,2,3,4,] 2.0 seconds: [[5,6,7,8]]") == [(2.0, [5, 6, 7, 8]), (3.0, [1, -2, 0.5, 100]), (4.0, [1, -2, 0.5, 100])]
+    assert boxes("") == boxes("3 seconds: [] 4seconds: [1,2,3,4] [1,2,3,4]") == []
+    assert one(spark, text.box_series(F.lit(None).cast("string")))[0] is None
     r = one(spark, text.yes_no(F.lit("YES")), text.yes_no(F.lit(" no. ")), text.yes_no(F.lit("yes it is")), text.yes_no(F.lit(None).cast("string")), text.answer_letter(F.lit("answer: (c)")))
     assert tuple(r) == ("YES", "NO", "INVALID", "INVALID", "C")
     p = one(spark, text.id_parts(F.lit("v&&1&&2&&1.0")), text.id_parts(F.lit("1.0$v$1$2")))
