@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import functools
 import math
-import operator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -98,6 +97,16 @@ def coverage(required: DataFrame, statuses: DataFrame, sample: str) -> DataFrame
     return out.withColumn("coverage", F.when(F.col("n_required") == F.col("n_supported"), F.lit("COMPLETE")).otherwise("INCOMPLETE"))
 
 
+@functools.lru_cache(1 << 16)
+def _at_most(ranks: tuple[int, ...], low: int) -> int:
+    """How many choices among the ranks sum to `low` or less. The numbers of choices by sum are the digits of one whole number, wide enough that none overflows."""
+    wide = len(ranks) + 1
+    ways = 1
+    for r in ranks:
+        ways += ways << (wide * r)
+    return (ways & ((1 << wide * (low + 1)) - 1)) % ((1 << wide) - 1)  # the sum of the digits
+
+
 def wilcoxon(values: list[float], most: int = 20) -> tuple:
     """n, zeros, W+, W-, rank-biserial r and the exact two-sided p of a signed-rank test; ranks of equals are averaged.
 
@@ -116,36 +125,30 @@ def wilcoxon(values: list[float], most: int = 20) -> tuple:
         k = end
     plus = sum(r for r, (_, up) in zip(ranks, rest) if up)
     total = sum(ranks)
-    ways = [1] + [0] * total
-    for r in ranks:
-        for w in range(total, r - 1, -1):
-            ways[w] += ways[w - r]
     low = min(plus, total - plus)
-    p = min(1.0, 2 * sum(ways[: low + 1]) / 2 ** len(ranks)) if ranks else 1.0
+    p = min(1.0, 2 * _at_most(tuple(ranks), low) / 2 ** len(ranks)) if ranks else 1.0
     return len(clean), len(clean) - len(rest), plus / 2, (total - plus) / 2, (2 * plus - total) / total if total else 0.0, p
 
 
 def signed_rank(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The exact signed-rank test of each group, as a grouped aggregate; status TOO_MANY and no figures but the counts for groups of more than 20 nonzero values."""
+    """The exact signed-rank test of each group; status TOO_MANY and no figures but the counts for groups of more than 20 nonzero values.
+
+    Rows are exchanged once. Only the nonzero values of groups that are tested, 20 at most, meet in an array; a batch of such groups is one call of Python.
+    """
     known = F.col(value).isNotNull() & ~F.isnan(value)
-    nonzero = F.count(F.when(known & (F.abs(value) > 1e-12), 1))
-    sizes = rows.groupBy(*keys).agg(F.count(F.when(known, 1)).alias("__n"), nonzero.alias("__nonzero"))
+    nonzero = known & (F.abs(value) > 1e-12)
+    marked = rows.withColumn("__nonzero", F.count(F.when(nonzero, 1)).over(Window.partitionBy(*keys)))
+    few = F.when(nonzero & (F.col("__nonzero") <= 20), F.col(value).cast("double"))
+    groups = marked.groupBy(*keys).agg(F.count(F.when(known, 1)).alias("__n"), F.first("__nonzero").alias("__nonzero"), F.collect_list(few).alias("__v"))
+    tests = groups.withColumn("__t", F.when(F.col("__nonzero") <= 20, F.pandas_udf(_hinted(_tests), "w_plus double, w_minus double, rank_biserial double, p_value double")("__v")))
+    counts = [F.col("__n").cast("double").alias("n"), (F.col("__n") - F.col("__nonzero")).cast("double").alias("n_zero")]
+    return tests.select(*keys, *counts, "__t.*", F.when(F.col("__nonzero") > 20, "TOO_MANY").otherwise("OK").alias("status"))
 
-    def test(v: pd.Series) -> list[float]:
-        return [float(x) for x in wilcoxon(v.tolist())]
 
-    names = ("n", "n_zero", "w_plus", "w_minus", "rank_biserial", "p_value")
-    udf = F.pandas_udf(_hinted(test), "array<double>")
-    few = sizes.where("__nonzero <= 20").select(*[F.col(k).alias(f"__{k}") for k in keys])
-    same = functools.reduce(operator.and_, [rows[k].eqNullSafe(few[f"__{k}"]) for k in keys])
-    tests = rows.join(few, same, "left_semi").groupBy(*keys).agg(udf(F.col(value)).alias("__t")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__t")
-    same = functools.reduce(operator.and_, [sizes[k].eqNullSafe(tests[f"__{k}"]) for k in keys])
-    counts = {"n": F.col("__n").cast("double"), "n_zero": (F.col("__n") - F.col("__nonzero")).cast("double")}
-    return sizes.join(tests, same, "left").select(
-        *keys, *[counts.get(n, F.get("__t", F.lit(i))).alias(n) for i, n in enumerate(names)], F.when(F.col("__nonzero") > 20, "TOO_MANY").otherwise("OK").alias("status")
-    )
+def _tests(v: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([wilcoxon(x.tolist())[2:] for x in v], columns=["w_plus", "w_minus", "rank_biserial", "p_value"])
 
 
 def _hinted(f):
-    f.__annotations__ = {"v": pd.Series, "return": list[float]}
+    f.__annotations__ = {"v": pd.Series, "return": pd.DataFrame}
     return f
