@@ -65,7 +65,7 @@ def dynamic(candidates: DataFrame, key: str, frames: str) -> DataFrame:
     is_, p = (lambda kind: F.col("kind") == kind), F.col("permutation")
     return out.select(
         key, "kind", F.when(is_("FREEZE_MID"), "FREEZE").otherwise("ORDER").alias("family"), "reason", "attempt", F.col("__out").alias(frames),
-        (F.size("__out") == n).alias("same_length"), F.when(~is_("FREEZE_MID"), F.array_sort("__out") == F.array_sort(frames)).alias("same_frames"),
+        (F.size("__out") == n).alias("same_length"), F.when(~is_("FREEZE_MID"), F.sort_array("__out") == F.sort_array(frames)).alias("same_frames"),
         F.when(is_("FULL_SHUFFLE"), (p != F.col("__whole")) & (permutations.changed(p) >= permutations.MOVED)).alias("moved_enough"),
         F.when(is_("BLOCK_SHUFFLE"), reduce(lambda a, b: a & b, [F.slice("__out", k * size + 1, size) == F.slice(frames, b * size + 1, size) for k, b in enumerate(permutations.BLOCKS)])).alias("blocks_kept"),
         F.when(is_("FREEZE_MID"), F.forall("__out", lambda x: x == F.get(F.col(frames), F.lit(permutations.MIDDLE)))).alias("frozen"),

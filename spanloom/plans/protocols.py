@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import placements
-from spanloom.operators import audits, geometry, interventions, nested, selection, timeline
+from spanloom.operators import audits, geometry, interventions, nested, ranking, selection, timeline
 
 from .registry import Tables, query
 
@@ -108,7 +108,8 @@ def dynamic_interventions(t: Tables) -> DataFrame:
     """Three interventions for each order as a candidate of 16 frames, some of 12; what must hold comes out as columns."""
     n = F.when(F.col("o_orderkey") % 10 == 0, 12).otherwise(16)
     frames = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit("f"), (i + F.col("o_orderkey") % 3).cast("string")))
-    return interventions.dynamic(t.orders.select("o_orderkey", frames.alias("frames")), "o_orderkey", "frames")
+    orders = t.orders.select("o_orderkey").repartition(ranking.PARTS, "o_orderkey")  # much is done for each row, and a file may be one task
+    return interventions.dynamic(orders.select("o_orderkey", frames.alias("frames")), "o_orderkey", "frames")
 
 
 COVER = ["o_totalprice > 450000", "o_totalprice < 2000", "o_orderstatus = 'F'", "o_orderstatus = 'P'", "month(o_orderdate) = 2", "o_orderpriority = '1-URGENT'", "o_custkey % 11 = 3", "o_orderstatus = 'NONE'", "o_orderpriority = '5-LOW'"]
