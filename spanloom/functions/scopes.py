@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanloom.functions.claims import bound
+
 # The scopes with their reasons, first match first, and the patterns that tell them.
 SCOPES = (
     (
@@ -50,13 +52,18 @@ def claim_scope(text: Column) -> Column:
     Case and runs of blanks don't count for the scope; the digest is of the text without blanks at its ends.
     """
     told = lambda scope, reason: F.struct(F.lit(scope).alias("claim_scope"), F.lit(reason).alias("reason_code"))
-    stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
-    plain = F.regexp_replace(F.lower(stripped), r"\s+", " ")
-    out = told(*UNRESOLVED)
-    for scope, reason, patterns in reversed(SCOPES):
-        out = F.when(reduce(lambda a, b: a | b, [plain.rlike(p) for p in patterns]), told(scope, reason)).otherwise(out)
-    full = F.struct(out["claim_scope"].alias("claim_scope"), out["reason_code"].alias("reason_code"), (out["claim_scope"] == "LOCAL_ATOMIC").alias("single_roi_certificate_applicable"), F.sha2(stripped, 256).alias("claim_text_sha256"))
-    return F.when(stripped != "", full)
+
+    def found(plain: Column) -> Column:
+        out = told(*UNRESOLVED)
+        for scope, reason, patterns in reversed(SCOPES):
+            out = F.when(reduce(lambda a, b: a | b, [plain.rlike(p) for p in patterns]), told(scope, reason)).otherwise(out)
+        return out
+
+    def judged(stripped: Column) -> Column:
+        full = lambda x: F.struct(x["claim_scope"].alias("claim_scope"), x["reason_code"].alias("reason_code"), (x["claim_scope"] == "LOCAL_ATOMIC").alias("single_roi_certificate_applicable"), F.sha2(stripped, 256).alias("claim_text_sha256"))
+        return F.when(stripped != "", bound(bound(F.regexp_replace(F.lower(stripped), r"\s+", " "), found), full))
+
+    return bound(F.regexp_replace(text, r"^\s+|\s+$", ""), judged)
 
 
 # The questions that ask for a time, with the event as the first group.
@@ -72,9 +79,13 @@ TERMINAL = (
 
 def terminal_query(question: Column) -> Column:
     """template, event of a question that ends with one of the known clauses, lower-cased and with single blanks; null where no clause ends it, or any clause stands in it besides."""
-    plain = F.trim(F.regexp_replace(F.lower(question), r"\s+", " "))
-    ends = lambda p: plain.rlike(rf"{p}\s*\z")
-    event = lambda p: F.trim(F.regexp_extract(plain, rf"{p}\s*\z", 1))
-    made = F.coalesce(*[F.when(ends(p), F.struct(F.lit(name).alias("template"), event(p).alias("event"))) for name, p in TERMINAL])
+    ends = lambda plain, p: plain.rlike(rf"{p}\s*\z")
+    event = lambda plain, p: F.trim(F.regexp_extract(plain, rf"{p}\s*\z", 1))
     once = lambda counts: reduce(lambda a, b: a + b, counts) == 1
-    return F.when(once([ends(p).cast("int") for _, p in TERMINAL]) & once([F.regexp_count(plain, F.lit(p)) for _, p in TERMINAL]) & (made["event"] != ""), made)
+
+    def judged(plain: Column) -> Column:
+        made = F.coalesce(*[F.when(ends(plain, p), F.struct(F.lit(name).alias("template"), event(plain, p).alias("event"))) for name, p in TERMINAL])
+        sound = once([ends(plain, p).cast("int") for _, p in TERMINAL]) & once([F.regexp_count(plain, F.lit(p)) for _, p in TERMINAL])
+        return F.when(sound, bound(made, lambda m: F.when(m["event"] != "", m)))
+
+    return bound(F.trim(F.regexp_replace(F.lower(question), r"\s+", " ")), judged)

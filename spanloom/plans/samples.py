@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import scopes
+from spanloom.operators import ranking
 from spanloom.sources import samples
 
 from .registry import Tables, query
@@ -161,7 +162,8 @@ CASE WHEN plain <> '' THEN sha256(trim(claim)) END AS claim_text_sha256 FROM s""
 def claim_scopes(t: Tables) -> DataFrame:
     """Names of parts in claims of every scope, with a blank one."""
     claim = F.replace(F.get(F.array(*map(F.lit, CLAIMS)), (F.col("p_partkey") % 12).cast("int")), F.lit("{}"), F.col("p_name"))
-    return t.part.select("p_partkey", scopes.claim_scope(claim).alias("x")).select("p_partkey", "x.*")
+    parts = t.part.select("p_partkey", "p_name").repartition(ranking.PARTS, "p_partkey")  # patterns take long, and a file may be one task
+    return parts.select("p_partkey", scopes.claim_scope(claim).alias("x")).select("p_partkey", "x.*")
 
 
 QUESTIONS = (
@@ -181,4 +183,5 @@ CASE WHEN ends = 1 AND all_ = 1 THEN CASE {" ".join(f"WHEN {e} THEN trim(regexp_
 def terminal_queries(t: Tables) -> DataFrame:
     """Names of parts in questions of every form, with two clauses, with none and with one that doesn't end the question."""
     asked = F.replace(F.get(F.array(*map(F.lit, QUESTIONS)), (F.col("p_partkey") % 10).cast("int")), F.lit("{}"), F.col("p_name"))
-    return t.part.select("p_partkey", scopes.terminal_query(asked).alias("x")).select("p_partkey", "x.*")
+    parts = t.part.select("p_partkey", "p_name").repartition(ranking.PARTS, "p_partkey")
+    return parts.select("p_partkey", scopes.terminal_query(asked).alias("x")).select("p_partkey", "x.*")
