@@ -32,7 +32,8 @@ def status_histogram(t: Tables) -> DataFrame:
     detail = F.struct(F.when(F.col("user_id") % 2 == 0, "APPLIES").otherwise("DOES_NOT").alias("applicability"), parts.alias("parts"), F.col("event_type").alias("kind"))
     steps = F.array(F.struct(check(80, 20).alias("check_status"), detail.alias("detail")), F.struct(F.when(F.col("user_id") % 3 == 0, check(40, 5)).alias("check_status"), F.when(F.col("user_id") < 0, detail).alias("detail")))
     run = F.struct(check(50, 10).alias("execution_status"), steps.alias("steps"), F.array(F.lit("status"), F.lit("ok")).alias("list_status"))
-    docs = t.events.select(F.to_json(F.struct(F.col("event_type").alias("status"), run.alias("run"), F.col("props").alias("props"))).alias("doc"))
+    events = t.events.select("event_id", "user_id", "event_type", "value", "props").repartition(ranking.PARTS, "event_id")  # much is done for each row, and a file may be one task
+    docs = events.select(F.to_json(F.struct(F.col("event_type").alias("status"), run.alias("run"), F.col("props").alias("props"))).alias("doc"))
     return nested.statuses(docs, "doc")
 
 

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from spanloom.functions import permutations
-from spanloom.operators import aggregates
+from spanloom.functions import permutations, scopes
+from spanloom.operators import aggregates, nested
 
 
 def plan(df):
@@ -27,3 +27,16 @@ def test_permutation_is_drawn_once_an_attempt(spark):
     assert plan(shuffled).count("md5(") <= 2
     none = spark.range(3).select(permutations.full_shuffle(F.col("id"), F.lit(16), moved=17, retries=0).alias("x")).select("x.*").collect()
     assert {r.reason for r in none} == {"FULL_SHUFFLE_CONSTRAINTS_UNSATISFIED"}
+
+
+def test_claim_is_stripped_once(spark):
+    made = spark.createDataFrame([(" There is  a TOOL ",), (" ",), (None,)], "t string").select(scopes.claim_scope(F.col("t")).alias("x"))
+    assert plan(made).count("regexp_replace(") <= 2
+    assert [r.x and r.x.claim_scope for r in made.collect()] == ["MULTI_SUPPORT_POSSIBLE", None, None]
+
+
+def test_statuses_are_walked_within_the_row(spark):
+    docs = spark.createDataFrame([('{"a":{"status":"x","l":[{"b_status":"y"},["status"],{"status":7}]},"status":{"status":"z"}}',), ("no",), (None,), ('"status"',)], "d string")
+    out = nested.statuses(docs, "d")
+    assert plan(out).count("Generate") == 1
+    assert {(r.path, r.status, r.n) for r in out.collect()} == {("a.status", "x", 1), ("a.l.b_status", "y", 1), ("status.status", "z", 1)}
