@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joining import KEY_PARTS
 from .registry import Tables, query
 
 
@@ -175,9 +176,12 @@ def artifact_order(t: Tables) -> DataFrame:
 @query("v26_v80_cache_keys", "SELECT count(*) AS n, count(DISTINCT k) AS keys, count(DISTINCT p) AS payloads FROM (SELECT sha256(l_partkey || ':' || l_suppkey || ':' || l_returnflag) AS k, (l_partkey, l_suppkey, l_returnflag) AS p FROM lineitem)")
 def cache_keys(t: Tables) -> DataFrame:
     """Keys are made of what they stand for: as many keys as different payloads."""
-    payload = t.lineitem.groupBy("l_partkey", "l_suppkey", "l_returnflag").agg(_n())
-    key = F.sha2(F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), "l_returnflag"), 256)
-    return payload.agg(F.sum("n").alias("n"), F.countDistinct(key).alias("keys"), F.count(F.lit(1)).alias("payloads"))
+    parts = ["l_partkey", "l_suppkey", "l_returnflag"]
+    key = F.unhex(F.sha2(F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), "l_returnflag"), 256))
+    # Dealt by the key to many tasks, where payloads and then keys are counted without another exchange of either.
+    payload = t.lineitem.select(*parts, key.alias("k")).repartition(KEY_PARTS, "k").groupBy("k", *parts).agg(_n())
+    keys = payload.groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("payloads"))
+    return keys.agg(F.sum("n").alias("n"), F.count("k").alias("keys"), F.sum("payloads").alias("payloads"))
 
 
 @query(

@@ -94,10 +94,14 @@ _SPANS = """spans AS (SELECT o_orderkey AS k, l_linenumber AS n, l_partkey AS p,
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 
 
+#: Tasks over the orders of a table where the rows of an order are sorted, joined and grouped in one stage, so that what a task holds stays small.
+KEY_PARTS = 192
+
+
 def spans(t: Tables) -> DataFrame:
     """k, n, p, s, e, f: an interval in days for each line of an order, between order and shipping."""
     day = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")).cast("double") / 86400.0
-    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = t.orders.join(t.lineitem.repartition(KEY_PARTS, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     return rows.select(F.col("o_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.least(day("o_orderdate"), day("l_shipdate")).alias("s"), F.greatest(day("o_orderdate"), day("l_shipdate")).alias("e"), F.col("l_returnflag").alias("f"))
 
 
