@@ -22,6 +22,19 @@ def best(pairs_: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     return pairs_.where(F.col("iou") >= threshold).groupBy(*keys, "p").agg(F.max(ranked).alias("b")).select(*keys, "p", (-F.col("b.o")).alias("g"), F.col("b.iou").alias("iou"))
 
 
+def hits(pairs_: DataFrame, keys: list[str], thresholds: tuple[float, ...]) -> DataFrame:
+    """threshold, preds_hit, truths_hit, pairs: predictions and truths with a pair of an IoU above it, and such pairs, for each threshold that any pair passes.
+
+    Each prediction and each truth is one group with its largest IoU, whatever the thresholds; no distinct counts.
+    """
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("pred"), F.col("p").alias("id")), F.struct(F.lit(False).alias("pred"), F.col("g").alias("id")))).alias("s")
+    above = [F.count_if(F.col("iou") > x).alias(f"n{i}") for i, x in enumerate(thresholds)]
+    each = pairs_.where(F.col("iou") > min(thresholds)).select(*keys, "iou", sides).groupBy(*keys, "s").agg(F.max("iou").alias("best"), *above)
+    pred = F.col("s.pred")
+    told = [F.struct(F.lit(x).alias("threshold"), F.count_if(pred & (F.col("best") > x)).alias("preds_hit"), F.count_if(~pred & (F.col("best") > x)).alias("truths_hit"), F.sum(F.when(pred, F.col(f"n{i}"))).alias("pairs")) for i, x in enumerate(thresholds)]
+    return each.agg(F.array(*told).alias("t")).select(F.explode("t").alias("t")).select("t.*").where("pairs > 0")
+
+
 def greedy(preds: Column, truths: Column, threshold: float, iou=Iou) -> Column:
     """Array of (g, p, iou): truths in order, each taking the free prediction of the largest IoU, the first among equals, if it reaches the threshold.
 

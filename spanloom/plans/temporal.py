@@ -117,11 +117,9 @@ _SIDES = f"{_SPANS}, i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY
 SELECT threshold, count(DISTINCT (k, p)) AS preds_hit, count(DISTINCT (k, g)) AS truths_hit, count(*) AS pairs FROM io JOIN t ON iou > threshold GROUP BY 1""",
 )
 def threshold_pairs(t: Tables) -> DataFrame:
-    """Several thresholds at once: each pair is dealt to those it passes."""
+    """Several thresholds at once, from the best pair of each prediction and truth."""
     preds, truths = _sides(t)
-    passed = F.filter(F.array(*[F.lit(x) for x in (0.3, 0.5, 0.7)]), lambda x: F.col("iou") > x)
-    pairs = matching.pairs(preds, truths, ["k"]).withColumn("threshold", F.explode(passed))
-    return pairs.groupBy("threshold").agg(F.countDistinct("k", "p").alias("preds_hit"), F.countDistinct("k", "g").alias("truths_hit"), F.count(F.lit(1)).alias("pairs"))
+    return matching.hits(matching.pairs(preds, truths, ["k"]), ["k"], (0.3, 0.5, 0.7))
 
 
 @query("j21_best_match_per_pred", f"WITH {_SIDES} SELECT k, p, arg_min(g, (-iou, g)) AS g, round(max(iou), 6) AS iou FROM io WHERE iou >= 0.3 GROUP BY 1, 2")

@@ -1,9 +1,16 @@
 """What keeps queries within their limits on large tables: work done once, spread over tasks, and bounded rows."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import permutations, scopes
-from spanloom.operators import aggregates, nested
+from spanloom.operators import aggregates, matching, nested
+from spanloom.plans.catalog import QUERIES
+from spanloom.plans.joining import KEY_PARTS
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -40,3 +47,16 @@ def test_statuses_are_walked_within_the_row(spark):
     out = nested.statuses(docs, "d")
     assert plan(out).count("Generate") == 1
     assert {(r.path, r.status, r.n) for r in out.collect()} == {("a.status", "x", 1), ("a.l.b_status", "y", 1), ("status.status", "z", 1)}
+
+
+def test_hits_have_no_distinct_counts(spark):
+    pairs = spark.createDataFrame([(1, 1, 1, 0.4), (1, 1, 2, 0.8), (1, 2, 2, 0.6), (2, 1, 1, 0.2)], "k int, p int, g int, iou double")
+    out = matching.hits(pairs, ["k"], (0.3, 0.7, 0.9))
+    assert "Expand" not in plan(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(0.3, 2, 2, 3), (0.7, 1, 1, 1)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["g20_flatten_overlaps", "j20_threshold_pairs", "v26_v80_cache_keys"])
+def test_rows_are_dealt_to_many_tasks(spark, name):
+    assert "RepartitionByExpression" in plan(QUERIES[name](spark, SF)) and f", {KEY_PARTS}" in plan(QUERIES[name](spark, SF))
