@@ -55,18 +55,24 @@ def parse_claims(raw: Column, sample: Column, maximum: int) -> Column:
     """
 
     def judged(v: Column) -> Column:
-        items = F.try_variant_get(v, "$.claims", "array<variant>")
+        return bound(F.try_variant_get(v, "$.claims", "array<variant>"), lambda items: read(v, items))
+
+    def read(v: Column, items: Column) -> Column:
+        texts = F.transform(items, lambda c: F.when(_is_a(F.try_variant_get(c, "$.text", "variant"), "STRING"), F.try_variant_get(c, "$.text", "string")))
+        return bound(texts, lambda texts: bound(F.transform(texts, stripped), lambda plain: bound(reason(v, items, texts, plain), lambda r: made(plain, r))))
+
+    def reason(v: Column, items: Column, texts: Column, plain: Column) -> Column:
         exact = _is_a(v, "OBJECT") & (_keys(v) == F.array(F.lit("claims"))) & items.isNotNull()
         formed = F.forall(items, lambda c: _is_a(c, "OBJECT") & (_keys(c) == F.array(F.lit("text"))))
-        texts = F.transform(items, lambda c: F.when(_is_a(F.try_variant_get(c, "$.text", "variant"), "STRING"), F.try_variant_get(c, "$.text", "string")))
-        sound = F.forall(texts, lambda t: t.isNotNull() & (stripped(t) != "") & (F.length(t) <= LONGEST))
-        plain = F.transform(texts, stripped)
-        reason = (
+        sound = F.forall(texts, lambda t: t.isNotNull() & (F.length(t) <= LONGEST)) & F.forall(plain, lambda t: t != "")
+        return (
             F.when(v.isNull(), "NOT_JSON").when(~F.coalesce(exact, F.lit(False)), "EXPECTED_CLAIMS_ARRAY").when(F.size(items) > maximum, "TOO_MANY_CLAIMS")
             .when(~F.coalesce(formed, F.lit(False)), "CLAIM_FORM").when(~F.coalesce(sound, F.lit(False)), "CLAIM_TEXT").when(F.size(F.array_distinct(plain)) < F.size(plain), "DUPLICATE_CLAIM")
         )
-        made = F.transform(plain, lambda t: F.struct(claim_id(sample, t).alias("claim_id"), t.alias("text")))
-        return F.struct(F.when(reason.isNull(), made).alias("claims"), reason.alias("reason"))
+
+    def made(plain: Column, why: Column) -> Column:
+        claims = F.transform(plain, lambda t: F.struct(claim_id(sample, t).alias("claim_id"), t.alias("text")))
+        return F.struct(F.when(why.isNull(), claims).alias("claims"), why.alias("reason"))
 
     return bound(F.try_parse_json(raw), judged)
 
