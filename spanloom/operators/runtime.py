@@ -42,7 +42,8 @@ def bind_claims(claims: DataFrame, windows: DataFrame, records: DataFrame, exclu
     within = F.element_at(F.nullif(orders, F.array().cast("array<int>")), -1) < F.col("n_frames")
     said = (F.trim(note) != "") & (F.length(note) <= NOTE)
     clean = ~F.lower(note).rlike("|".join(FORBIDDEN))
-    scope = scopes.claim_scope(F.col("text"))["claim_scope"]
+    out = out.withColumn("scope", scopes.claim_scope(F.col("text"))["claim_scope"])
+    scope = F.col("scope")
     ok = lambda c: F.coalesce(c, F.lit(False))
     rules = [
         ("EXCLUDED_INDEX", ~F.col("source_record_index").isin(*excluded) if excluded else F.col("source_record_index").isNotNull()),
