@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import intervals
+from spanloom.functions.claims import bound
 
 # Frames a second of the sources' indices, by data set.
 TAL_HZ = {"AVOS": 15.0, "CholecT50": 1.0, "CoPESD": 1.0, "EgoSurgery": 0.5}
@@ -153,11 +154,11 @@ _OUT = (
 ).split()
 
 
-def _common(rows: DataFrame, base: dict[str, float], dataset: Column) -> DataFrame:
-    """What both kinds share: identity, data set, paths, frames and rates."""
-    raw = rows.select("position", "sample").withColumns(
+def _common(rows: DataFrame, base: dict[str, float], dataset: Column, asked: Column) -> DataFrame:
+    """What both kinds share: identity, data set, paths, frames and rates. Of samples of another kind only the identity is read; their sample is null from here on."""
+    own = rows.select("position", "sample", F.coalesce(asked, F.lit(False)).alias("asked"), _text("id").alias("clip_id"))
+    raw = own.select("position", F.when(F.col("asked"), F.col("sample")).alias("sample"), "asked", "clip_id").withColumns(
         {
-            "clip_id": _text("id"),
             "paths": F.coalesce(_at("video", "array<string>"), F.array().cast("array<string>")),
             "frames": _at("sampled_video_frames", "array<bigint>"),
             "has_frames": F.size(F.coalesce(_at("sampled_video_frames", "array<variant>"), F.array().cast("array<variant>"))) > 0,
@@ -185,12 +186,12 @@ def tal(rows: DataFrame, root: str | None = None, old_root: str = "/root/data",
     """
     named = F.coalesce(F.nullif(_at("dataset_name", "string"), F.lit("")), F.nullif(_at("data_source", "string"), F.lit("")))
     turns = _at("conversations", TURNS)
-    df = _common(rows, TAL_HZ, named).withColumns({"question": _first(turns, "human"), "answer": _first(turns, "gpt"), "items": _objects(_at("struc_info", "array<variant>"))})
+    df = _common(rows, TAL_HZ, named, _at("qa_type", "string") == "tal").withColumns({"question": _first(turns, "human"), "answer": _first(turns, "gpt"), "items": _objects(_at("struc_info", "array<variant>"))})
     aimed = F.filter(F.transform("items", lambda v: F.struct(_member(v, "action", "string").alias("action"), _member(v, "phase", "string").alias("phase"))), lambda t: F.coalesce(t["action"], t["phase"]).isNotNull())
     df = df.withColumn("aim", F.get(aimed, F.lit(0)))
     told = F.flatten(F.transform("items", lambda v: _objects(_member(v, "spans", "array<variant>"))))
     told = F.filter(F.transform(told, lambda v: F.struct(_member(v, "start", "double").alias("start"), _member(v, "end", "double").alias("end"))), lambda s: s["start"].isNotNull() & s["end"].isNotNull())
-    df = df.withColumns({"told": told, "written": spans_of_answer(F.col("answer"))})
+    df = df.withColumn("told", told).withColumn("written", F.when(F.col("asked") & (F.coalesce(F.size("told"), F.lit(0)) <= 0), spans_of_answer(F.col("answer"))))
     df = df.withColumns(
         {
             "raw_spans": F.when(F.size("told") > 0, F.col("told")).otherwise(F.col("written")),
@@ -219,7 +220,7 @@ def tal(rows: DataFrame, root: str | None = None, old_root: str = "/root/data",
     stated = F.col("is_stated") & F.col("known").isNotNull()
     df = df.withColumns(
         {
-            "reason": F.when(F.coalesce(_at("qa_type", "string") != "tal", F.lit(True)), "NOT_TAL").otherwise(codes),
+            "reason": F.when(~F.col("asked"), "NOT_TAL").otherwise(codes),
             "method": F.when(stated, "known_duration_endpoint_interpolation").when(F.col("hz").isNotNull(), "source_frame_rate").otherwise("metadata_fps_source_frame_rate"),
             "hz": F.coalesce("hz", F.when(F.lit(fallback), F.col("fps"))),
             "known": F.when(stated, F.col("known")),
@@ -241,13 +242,16 @@ def _moved(path: Column, root: str | None, old_root: str) -> Column:
 
 def _below(path: Column, root: str, prefixes: tuple[str, ...]) -> Column:
     """A path put below `root`; null where it is absolute and under none of `prefixes`, is one of them, or climbs."""
-    slashes = F.regexp_replace(path, r"\\", "/")
-    rest = F.when(~slashes.startswith("/"), slashes)
-    for p in (*prefixes, root):
-        p = p.rstrip("/")
-        rest = F.coalesce(rest, F.when(slashes.startswith(p + "/"), F.substring(slashes, F.lit(len(p) + 2), F.length(slashes))))
-    sound = (rest != "") & ~F.array_contains(F.split(rest, "/"), "..")
-    return F.when(sound, F.concat(F.lit(root.rstrip("/") + "/"), rest))
+
+    def rest(slashes: Column) -> Column:
+        out = F.when(~slashes.startswith("/"), slashes)
+        for p in (*prefixes, root):
+            p = p.rstrip("/")
+            out = F.coalesce(out, F.when(slashes.startswith(p + "/"), F.substring(slashes, F.lit(len(p) + 2), F.length(slashes))))
+        return out
+
+    sound = lambda r: (r != "") & ~F.array_contains(F.split(r, "/"), "..")
+    return bound(bound(F.replace(path, F.lit("\\"), F.lit("/")), rest), lambda r: F.when(sound(r), F.concat(F.lit(root.rstrip("/") + "/"), r)))
 
 
 def stg(rows: DataFrame, root: str | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
@@ -262,7 +266,7 @@ def stg(rows: DataFrame, root: str | None = None, prefixes: tuple[str, ...] = ()
     turns = F.filter(_at("conversations", TURNS), lambda t: t["from"].isin("human", "user"))
     whole, first = _at("struc_info", "variant"), _at("struc_info[0]", "variant")
     is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    df = _common(rows, STG_HZ, named).withColumns({"turns": turns, "info": F.when(is_object(whole), whole).when(is_object(first), first)})
+    df = _common(rows, STG_HZ, named, F.lower(_at("qa_type", "string")) == "stg").withColumns({"turns": turns, "info": F.when(is_object(whole), whole).when(is_object(first), first)})
     asked = F.when(F.size(F.coalesce("turns", F.array().cast(TURNS))) > 0, F.get("turns", F.lit(0))["value"]).otherwise(_at("question", "string"))
     df = df.withColumns(
         {
@@ -290,11 +294,10 @@ def stg(rows: DataFrame, root: str | None = None, prefixes: tuple[str, ...] = ()
         (F.coalesce(F.size("boxes"), F.lit(0)) <= 0, "MISSING_BBOX_DICT"),
         (~empty & (F.col("start").isNull() | F.col("end").isNull()), "MISSING_SPAN"),
     )
-    lost = F.exists("paths", lambda p: _below(p, root, prefixes).isNull()) if root else F.lit(False)
-    kind = F.lower(F.coalesce(_at("qa_type", "string"), F.lit("")))
+    lost = F.exists("moved", lambda p: p.isNull()) if root else F.lit(False)
     df = df.withColumns(
         {
-            "reason": F.when(kind != "stg", "NOT_STG").when(lost, "FRAME_PATH_REMAP_FAILED").otherwise(codes),
+            "reason": F.when(~F.col("asked"), "NOT_STG").when(lost, "FRAME_PATH_REMAP_FAILED").otherwise(codes),
             "raw_spans": F.array(F.struct("start", "end")),
             "method": F.lit("source_frame_rate"),
             "known": F.lit(None).cast("double"),
