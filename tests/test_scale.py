@@ -5,10 +5,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.functions import permutations, scopes
+from spanloom.functions import claims, permutations, scopes
 from spanloom.operators import aggregates, matching, nested
 from spanloom.plans.catalog import QUERIES
 from spanloom.plans.joining import KEY_PARTS
+from spanloom.sources import samples
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +61,15 @@ def test_hits_have_no_distinct_counts(spark):
 @pytest.mark.parametrize("name", ["g20_flatten_overlaps", "j20_threshold_pairs", "v26_v80_cache_keys"])
 def test_rows_are_dealt_to_many_tasks(spark, name):
     assert "RepartitionByExpression" in plan(QUERIES[name](spark, SF)) and f", {KEY_PARTS}" in plan(QUERIES[name](spark, SF))
+
+
+def test_claims_are_read_once(spark):
+    out = spark.createDataFrame([('{"claims": [{"text": " a "}, {"text": "b"}]}',), ('{"claims": [{"text": " "}]}',)], "t string").select(claims.parse_claims(F.col("t"), F.lit("s"), 5).alias("x"))
+    assert plan(out).count("$.claims") == 1
+    assert [(r.x.claims and [c.text for c in r.x.claims], r.x.reason) for r in out.collect()] == [(["a", "b"], None), (None, "CLAIM_TEXT")]
+
+
+def test_paths_are_rewritten_once(spark):
+    out = spark.createDataFrame([("/old\\a/b",), ("/else/b",), ("a/../b",)], "p string").select(samples._below(F.col("p"), "/new", ("/old",)).alias("x"))
+    assert plan(out).count("replace(") == 1
+    assert [r.x for r in out.collect()] == ["/new/a/b", None, None]
