@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegralType, MapType, StructType
 
 # Parts of names that give ground truth away.
 FORBIDDEN = ("gt", "gnd", "ground_truth", "label", "answer", "struc_info", "alignment")
@@ -117,15 +117,27 @@ def prediction_audit(manifest: DataFrame, predictions: DataFrame, errors: DataFr
 def bound_timestamps(manifest: DataFrame, frames: DataFrame, clip: str) -> DataFrame:
     """clip, errors: whether the rows of a manifest (clip, frame_order, reference, seconds) are the frames (clip, frame_order, reference), one by one, in rising time.
 
-    FRAME_COUNT_MISMATCH, BINDING_MISMATCH, TIMESTAMP_NONFINITE, TIMESTAMP_NEGATIVE, TIMESTAMP_NONMONOTONIC, DURATION_NOT_POSITIVE. Each manifest row is also sent to
-    the next place, so neighbours meet in one aggregate and no window runs over a clip.
+    FRAME_COUNT_MISMATCH, BINDING_MISMATCH, TIMESTAMP_NONFINITE, TIMESTAMP_NEGATIVE, TIMESTAMP_NONMONOTONIC, DURATION_NOT_POSITIVE. References of other types than
+    whole numbers are compared as strings.
     """
-    none = F.lit(None)
-    time = F.col("seconds").cast("double")
-    own = manifest.select(clip, "frame_order", F.lit(1).alias("m"), F.lit(0).alias("f"), F.col("reference").cast("string").alias("mr"), none.cast("string").alias("fr"), time.alias("t"), none.cast("double").alias("before"))
-    after = manifest.select(clip, F.col("frame_order") + 1, F.lit(0), F.lit(0), none.cast("string"), none.cast("string"), none.cast("double"), time)
-    frame = frames.select(clip, "frame_order", F.lit(0), F.lit(1), none.cast("string"), F.col("reference").cast("string"), none.cast("double"), none.cast("double"))
-    place = own.union(after).union(frame).groupBy(clip, "frame_order").agg(F.sum("m").alias("m"), F.sum("f").alias("f"), F.max("mr").alias("mr"), F.max("fr").alias("fr"), F.min("t").alias("t"), F.max("before").alias("before"))
+    whole = all(isinstance(df.schema["reference"].dataType, IntegralType) for df in (manifest, frames))
+    reference = F.col("reference") if whole else F.col("reference").cast("string").alias("reference")
+    listed = manifest.select(clip, "frame_order", F.lit(True).alias("listed"), reference, F.col("seconds").cast("double").alias("seconds"))
+    return bound_rows(listed.union(frames.select(clip, "frame_order", F.lit(False), reference, F.lit(None).cast("double"))), clip)
+
+
+def bound_rows(rows: DataFrame, clip: str) -> DataFrame:
+    """clip, errors as of `bound_timestamps`, from one table of both sides: clip, frame_order, listed (a row of the manifest, else a frame), reference, seconds.
+
+    Each manifest row is also sent to the next place, so neighbours meet in one aggregate and no window runs over a clip. Rows that are dealt by clip already aren't
+    exchanged, and references that are numbers aren't sorted.
+    """
+    rows = rows.withColumn("ahead", F.explode(F.when(F.col("listed"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    here, listed = F.col("ahead") == 0, F.col("listed")
+    m, f = here & listed, here & ~listed
+    place = rows.groupBy(clip, (F.col("frame_order") + F.col("ahead")).alias("frame_order")).agg(
+        F.count_if(m).alias("m"), F.count_if(f).alias("f"), F.max(F.when(m, F.col("reference"))).alias("mr"), F.max(F.when(f, F.col("reference"))).alias("fr"), F.min(F.when(m, F.col("seconds"))).alias("t"), F.max(F.when(~here, F.col("seconds"))).alias("before")
+    )
     here = (F.col("m") > 0) | (F.col("f") > 0)
     infinite = F.col("t").isNull() | F.isnan("t") | (F.abs("t") == float("inf"))
     out = place.groupBy(clip).agg(

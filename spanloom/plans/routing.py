@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import answers, routes
 from spanloom.operators import audits
 
+from .joining import KEY_PARTS
 from .registry import Tables, query
 
 
@@ -169,11 +170,14 @@ SELECT l_orderkey, list_filter([CASE WHEN nm <> nf THEN 'FRAME_COUNT_MISMATCH' E
 )
 def timestamp_binding(t: Tables) -> DataFrame:
     """The lines of orders as frames, a manifest of them with wrong references, lost rows and bad times."""
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))  # the few lines of an order
-    rows = lines.select("l_orderkey", F.posexplode("x").alias("frame_order", "x")).select("l_orderkey", "frame_order", F.col("x.l_partkey").alias("reference"), F.col("x.l_suppkey").alias("s"))
-    seconds = F.expr("CASE WHEN reference % 43 = 0 THEN NULL WHEN reference % 47 = 0 THEN -1.0D WHEN reference % 37 = 0 THEN 0.5D ELSE frame_order * 2.0D END")
-    manifest = rows.where("NOT (frame_order > 0 AND reference % 53 = 0)").select("l_orderkey", "frame_order", seconds.alias("seconds"), F.expr("CASE WHEN s % 41 = 0 THEN -reference ELSE reference END").alias("reference"))
-    return audits.bound_timestamps(manifest, rows, "l_orderkey")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition(KEY_PARTS, "l_orderkey")  # the one exchange
+    place = Window.partitionBy("l_orderkey").orderBy(*map(F.asc_nulls_last, ("l_linenumber", "l_partkey", "l_suppkey")))  # the few lines of an order
+    frames = lines.withColumn("frame_order", F.row_number().over(place) - 1)
+    sides = F.when(F.expr("NOT (frame_order > 0 AND l_partkey % 53 = 0)"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    reference = F.expr("CASE WHEN listed AND l_suppkey % 41 = 0 THEN -l_partkey ELSE l_partkey END")
+    seconds = F.expr("CASE WHEN l_partkey % 43 = 0 THEN NULL WHEN l_partkey % 47 = 0 THEN -1.0D WHEN l_partkey % 37 = 0 THEN 0.5D ELSE frame_order * 2.0D END")
+    rows = frames.withColumn("listed", F.explode(sides)).select("l_orderkey", "frame_order", "listed", reference.alias("reference"), seconds.alias("seconds"))
+    return audits.bound_rows(rows, "l_orderkey")
 
 
 LINES = (

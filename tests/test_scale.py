@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import claims, permutations, scopes
-from spanloom.operators import aggregates, matching, nested
+from spanloom.operators import aggregates, audits, matching, nested
 from spanloom.plans.catalog import QUERIES
 from spanloom.plans.joining import KEY_PARTS
 from spanloom.sources import samples
@@ -22,6 +22,10 @@ def physical(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_signed_rank_calls_python_by_batches_of_groups(spark):
     rows = spark.createDataFrame([(g, float(v)) for g in range(50) for v in (1, -2, 3, 0)] + [(99, float(v)) for v in range(1, 30)], "g long, v double")
     out = aggregates.signed_rank(rows, ["g"], "v")
@@ -73,3 +77,20 @@ def test_paths_are_rewritten_once(spark):
     out = spark.createDataFrame([("/old\\a/b",), ("/else/b",), ("a/../b",)], "p string").select(samples._below(F.col("p"), "/new", ("/old",)).alias("x"))
     assert plan(out).count("replace(") == 1
     assert [r.x for r in out.collect()] == ["/new/a/b", None, None]
+
+
+def test_bound_timestamps_are_not_sorted_by_references(spark):
+    frames = [(c, i, 10 + i) for c in ("good", "falls", "other", "less") for i in range(3)]
+    listed = [(c, i, 10 + i + (c == "other"), 5.0 - i if c == "falls" else float(i)) for c, i, _ in frames if (c, i) != ("less", 1)] + [("alone", 0, None, None)]
+    out = audits.bound_timestamps(spark.createDataFrame(listed, "c string, frame_order int, reference long, seconds double"), spark.createDataFrame(frames, "c string, frame_order int, reference int"), "c")
+    assert "SortAggregate" not in executed(out)
+    assert {x.c: x.errors for x in out.collect()} == {
+        "good": [], "falls": ["TIMESTAMP_NONMONOTONIC"], "other": ["BINDING_MISMATCH"], "less": ["FRAME_COUNT_MISMATCH", "BINDING_MISMATCH"],
+        "alone": ["FRAME_COUNT_MISMATCH", "BINDING_MISMATCH", "TIMESTAMP_NONFINITE", "DURATION_NOT_POSITIVE"],
+    }
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_lines_are_exchanged_once_for_timestamps(spark):
+    out = executed(QUERIES["j30_timestamp_binding"](spark, SF))
+    assert out.count("Exchange ") == 1 and f", {KEY_PARTS})" in out and "SortAggregate" not in out and out.count("FileScan") == 1
