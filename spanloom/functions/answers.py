@@ -31,7 +31,6 @@ def line_segments(text: Column) -> Column:
 
 def span_segments(text: Column) -> Column:
     """array of start, end, caption: from each `a-b seconds:` to the next one at a line's beginning, or the text's end; without empty captions, with repeated ones."""
-    pattern = rf"(?s){SPAN}\s+(.*?)(?=\n{SPAN}|\z)"
-    found = [F.regexp_extract_all(_stripped(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
-    zipped = F.arrays_zip(found[0].alias("a"), found[1].alias("b"), found[2].alias("c"))
-    return F.filter(F.transform(zipped, lambda x: _segment(x["a"], x["b"], _stripped(x["c"]))), lambda s: s["caption"] != "")
+    found = F.regexp_extract_all(_stripped(F.coalesce(text, F.lit(""))), F.lit(rf"(?s){SPAN}\s+.*?(?=\n{SPAN}|\z)"), F.lit(0))  # the text is gone through once
+    part = lambda x, k: F.regexp_extract(x, rf"(?s)^{SPAN}\s+(.*)\z", k)
+    return F.filter(F.transform(found, lambda x: _segment(part(x, 1), part(x, 2), _stripped(part(x, 3)))), lambda s: s["caption"] != "")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import answers, routes
@@ -195,9 +197,11 @@ def _case(forms: tuple[str, ...]) -> str:
     return "CASE " + " ".join(f"WHEN l_partkey % {len(forms)} = {i} THEN {f}" for i, f in enumerate(forms)) + " END"
 
 
-def _texts(t: Tables, forms: tuple[str, ...]) -> DataFrame:
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(_case(forms)).alias("line")))).alias("x"))
-    return lines.select("l_orderkey", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("txt"))
+def _captions(t: Tables, forms: tuple[str, ...], segments: Callable[[Column], Column]) -> DataFrame:
+    """Orders with segments in their text. Keys alone are exchanged, and segments are made by the aggregate itself, as they would be made again for the filter."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition(KEY_PARTS, "l_orderkey")
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.expr(_case(forms)).alias("line"))))
+    return lines.groupBy("l_orderkey").agg(segments(F.array_join(ordered["line"], "\n")).alias("segments")).where(F.size("segments") > 0)
 
 
 @query(
@@ -207,7 +211,7 @@ CASE l_partkey % 5 WHEN 0 THEN 'part ' || l_partkey WHEN 1 THEN 'part ' || l_par
 )
 def line_captions(t: Tables) -> DataFrame:
     """Captions in the forms that a line may have, among lines without times or without a caption."""
-    return _texts(t, LINES).select("l_orderkey", answers.line_segments(F.col("txt")).alias("segments")).where(F.size("segments") > 0)
+    return _captions(t, LINES, answers.line_segments)
 
 
 @query(
@@ -219,4 +223,4 @@ SELECT l_orderkey, list({{'start': a, 'end': b, 'caption': c}} ORDER BY s) AS se
 )
 def span_captions(t: Tables) -> DataFrame:
     """Segments over several lines, with ranges inside captions, captions on the next line and text before the first."""
-    return _texts(t, SPANS).select("l_orderkey", answers.span_segments(F.col("txt")).alias("segments")).where(F.size("segments") > 0)
+    return _captions(t, SPANS, answers.span_segments)

@@ -1,11 +1,13 @@
 """What keeps queries within their limits on large tables: work done once, spread over tasks, and bounded rows."""
 
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.functions import claims, permutations, scopes
+from spanloom.functions import answers, claims, permutations, scopes
 from spanloom.operators import aggregates, audits, matching, nested
 from spanloom.plans.catalog import QUERIES
 from spanloom.plans.joining import KEY_PARTS
@@ -94,3 +96,21 @@ def test_bound_timestamps_are_not_sorted_by_references(spark):
 def test_lines_are_exchanged_once_for_timestamps(spark):
     out = executed(QUERIES["j30_timestamp_binding"](spark, SF))
     assert out.count("Exchange ") == 1 and f", {KEY_PARTS})" in out and "SortAggregate" not in out and out.count("FileScan") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize(("name", "step"), [("v07_span_captions", "regexp_extract_all("), ("x04_line_captions", "split(")])
+def test_captions_are_read_once(spark, name, step):
+    out = plan(QUERIES[name](spark, SF))
+    assert out.count(step) == 1 and "RepartitionByExpression" in out and f", {KEY_PARTS}" in out
+
+
+def test_spans_are_those_of_one_pattern(spark):
+    r = random.Random(7)
+    parts = ["1-2 seconds:", "3.5-4 second:", "10-11  seconds:", "5-6 seconds", "7.-8 seconds:", " ", "\n", "\n", "\t", "a", "b c", "-", "é", "\r\n"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(2000)]
+    blanks = " \t\r\n\x0b\x0c"
+    want = [[(float(m[1]), float(m[2]), m[3].strip(blanks)) for m in re.finditer(r"(?s)(\d+(?:\.\d+)?)-(\d+(?:\.\d+)?)\s+seconds?:\s+(.*?)(?=\n\d+(?:\.\d+)?-\d+(?:\.\d+)?\s+seconds?:|\Z)", t.strip(blanks)) if m[3].strip(blanks)] for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", answers.span_segments(F.col("t")).alias("x"))
+    assert plan(rows).count("regexp_extract_all(") == 1
+    assert [[tuple(s) for s in x.x] for x in sorted(rows.collect())] == want and sum(map(len, want)) > 300
